@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import quality
 from .bpe import decode_bpe, encode_bpe
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import REST, mix_sources
+from .toxicity import toxicity
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 TRIM_SET = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -50,6 +52,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -94,6 +100,10 @@ FROM b JOIN period ON mix_class = cls AND mix_block % share = nth
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_docs(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir)).drop("char_distance", "word_distance")
 
@@ -149,8 +159,10 @@ def _chain(steps: str) -> str:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
