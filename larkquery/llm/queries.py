@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import REST, mix_sources
+from .token_store import read_tokens, write_tokens
 from .toxicity import toxicity
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -52,6 +53,13 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    folder, manifest = write_tokens(_docs(spark, sf_dir), tokenizers.path("word_bpe_49k.json"), 49_408, end_id=1)
+    return read_tokens(spark, folder, manifest)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -159,6 +167,7 @@ def _chain(steps: str) -> str:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_store": op2_token_store,
     "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
