@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .bpe import decode_bpe, encode_bpe
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .langid import language_id
 from .line_dedup import line_dedup
 from .mixing import REST, mix_sources
@@ -64,6 +65,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_docs(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -169,6 +174,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
