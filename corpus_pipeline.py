@@ -1,24 +1,74 @@
-"""A training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next."""
+"""A training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next.
+
+A document is known by its id: where rows of different texts share an id (not so in ``documents``), the stages that
+choose documents choose all of that id that fit.  Every stage takes null texts and ids, empty tables and extra
+columns; columns that are not those of ``documents`` end with the second stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkquery.llm.common import write_shared
+from larkquery.llm.common import reach_package, write_shared
 from larkquery.llm.exact_dedup import exact_dedup
+from larkquery.llm.jaccard_join import jaccard_components
+from larkquery.llm.langid import fit_langid, keep_identified
+from larkquery.llm.mixing import mix_sources
+from larkquery.llm.queries import MIX_BLOCK, MIX_REST, MIX_SHARES, bpe_digests
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and texts without a letter."""
+    reach_package(spark)
+    return keep_identified(docs.select(COLUMNS), fit_langid(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    reach_package(spark)
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row_key").alias("kept_key"))
+    rows = docs.select(COLUMNS)
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")), "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id stays."""
+    reach_package(spark)
+    kept = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: files and rows in them by slot."""
+    placed = mix_sources(docs.select(COLUMNS), MIX_SHARES, MIX_REST, MIX_BLOCK)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, "mix_slot", "mix_pos").sortWithinPartitions("mix_slot", "mix_pos").select(COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document doc_id, n_tokens and the digests of its ids and of the bytes they decode to."""
+    import public_tokenizers as tokenizers
+
+    reach_package(spark)
+    return bpe_digests(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("mixing", mix),
+    ("byte_bpe", tokenize),
+]
+#: Language identification is a trained network, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")

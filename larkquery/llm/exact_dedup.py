@@ -152,14 +152,15 @@ def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _digests(batch: pa.RecordBatch):
     for part in slices(batch, "text"):
         shas = [hashlib.sha256((t or b"").lower()).hexdigest() for t in part.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shas, pa.string())], names=["doc_id", "sha"])
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row_key"), pa.array(shas, pa.string())], names=["doc_id", "row_key", "sha"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, buckets: int | None = None) -> DataFrame:
-    """Per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256, row_key (hash of the text as it is).
 
     Texts are equal when identical after lower-casing A-Z only; the largest id of a group stays.
     """
     groups = grace_groups(docs, id_col, text_col, bucket_bytes, buckets)
-    members = arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _digests, "doc_id long, sha string")
-    return members.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
+    members = arrow_map(rows, _digests, "doc_id long, row_key long, sha string")
+    return members.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "row_key")

@@ -17,6 +17,7 @@ predicted alike; an empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,32 +159,52 @@ def fit_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return train_cnn(windows, np.array([langs.index(r["lang"]) for r in sample]), langs)
 
 
+def predict_texts(texts: list[str | None], model: ByteCnn | None) -> tuple[list[str], list[float]]:
+    """(languages, scores) of a batch of texts."""
+    some = [i for i, t in enumerate(texts) if t and model is not None and _letter()(t)]
+    pred, score = ["und"] * len(texts), [0.0] * len(texts)
+    if some:
+        cut = [cut_windows(texts[i].encode("utf-8")) for i in some]
+        windows = np.concatenate(cut)
+        weighted = model.window_probabilities(windows) * (windows != 0).sum(1, keepdims=True)
+        total = np.add.reduceat(weighted, np.cumsum([0, *map(len, cut)])[:-1], axis=0)
+        total /= np.maximum(total.sum(1, keepdims=True), 1e-12)
+        for i, k, row in zip(some, total.argmax(1), total, strict=True):
+            pred[i], score[i] = model.langs[k], min(1.0, float(row[k]))
+    return pred, score
+
+
+@cache
+def _letter():
+    import regex
+
+    return regex.compile(r"\p{L}").search
+
+
 def predict_langid(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, lang_pred, score."""
 
     def run(batches):
-        import regex
-
-        letter = regex.compile(r"\p{L}").search
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                texts = batch.column("text").to_pylist()
-                some = [i for i, t in enumerate(texts) if t and model is not None and letter(t)]
-                pred, score = ["und"] * len(texts), [0.0] * len(texts)
-                if some:
-                    cut = [cut_windows(texts[i].encode("utf-8")) for i in some]
-                    windows = np.concatenate(cut)
-                    weighted = model.window_probabilities(windows) * (windows != 0).sum(1, keepdims=True)
-                    starts = np.cumsum([0, *map(len, cut)])[:-1]
-                    total = np.add.reduceat(weighted, starts, axis=0)
-                    total /= np.maximum(total.sum(1, keepdims=True), 1e-12)
-                    for i, k, row in zip(some, total.argmax(1), total, strict=True):
-                        pred[i], score[i] = model.langs[k], min(1.0, float(row[k]))
+                pred, score = predict_texts(batch.column("text").to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: ByteCnn | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have a language (not ``und``) of at least this score; no shuffle."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text_col, 2 << 20):
+                pred, score = predict_texts(batch.column(text_col).to_pylist(), model)
+                yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (3, 1), **fit) -> DataFrame:
     """Fit on the labelled rows that are not held out, then per document: doc_id, held_out, lang_pred, score."""
     model = fit_langid(docs, id_col, text_col, lang_col, held_out=held_out, **fit)

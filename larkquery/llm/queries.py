@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import quality
 from .bpe import decode_bpe, encode_bpe
+from .chat import fit_hmm, format_chats, raw_transcripts
+from .common import reach_package, write_shared
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .langid import language_id
@@ -21,6 +23,7 @@ A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -44,7 +47,7 @@ FROM m GROUP BY doc_id
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_docs(spark, sf_dir))
+    return exact_dedup(_docs(spark, sf_dir)).drop("row_key")
 
 
 OP10_SQL = f"""
@@ -72,8 +75,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    vocabulary, pattern = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
-    coded = decode_bpe(encode_bpe(_docs(spark, sf_dir), vocabulary, pattern), vocabulary, pattern)
+    return bpe_digests(_docs(spark, sf_dir), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+
+
+def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """Encode, decode the ids, and digest both."""
+    coded = decode_bpe(encode_bpe(docs, vocabulary, pattern), vocabulary, pattern)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
@@ -117,6 +124,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_docs(spark, sf_dir))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw logs, one marker in five lost; what comes back, beside the roles of the table."""
+    reach_package(spark)
+    raw = write_shared(raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
+    found = format_chats(raw, fit_hmm(raw))
+    true = raw.select("conv_id", "segment", F.transform("truth", lambda t: t["role"]).alias("true_roles"))
+    both = found.join(true, found["conv_id"].eqNullSafe(true["conv_id"]) & (found["segment"] == true["segment"])).select(found["*"], "true_roles")
+    return both.select(
+        "conv_id",
+        "segment",
+        "n_lines",
+        F.size("roles").cast("long").alias("n_turns"),
+        F.array_join("roles", ",").alias("roles"),
+        F.array_join("true_roles", ",", "?").alias("true_roles"),
+        F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_docs(spark, sf_dir)).drop("char_distance", "word_distance")
 
@@ -178,6 +203,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
