@@ -22,23 +22,19 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: A worker's memos are cleared beyond these; that bounds memory and changes no result.
-MEMO_BYTES = 40 << 20
+MEMO_BYTES = 100 << 20
 MEMO_PAIRS = 300_000
 
 
 class BytePairCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import ahocorasick
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
+        self.automaton = None
         self.shorter: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.memo: dict[str, bytes] = {}
         self.memo_bytes = 0
@@ -77,7 +73,7 @@ class BytePairCodec:
         Undo the merges next to the boundary, latest first: the pair is impossible if, at some moment, the tokens
         that then touch the boundary would have merged before the merge that is being undone.
         """
-        key = (-1 if left is None else left, right)
+        key = right if left is None else (left + 1) << 32 | right
         if (found := self.pairs.get(key)) is None:
             found = (len(self.bytes_of[right]) == 1 or self.halves_of(right) is not None) and (left is None or self._apart(left, right))
             if len(self.pairs) >= MEMO_PAIRS:
@@ -108,34 +104,44 @@ class BytePairCodec:
             self.shorter[token] = found
         return found
 
+    def matcher(self):
+        """The automaton over all tokens, made when first needed (decoding does without)."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for token, rank in self.ranks.items():
+                self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.make_automaton()
+        return self.automaton
+
     def backtrack(self, data: bytes) -> list[int]:
-        n = len(data)
-        longest, reach = [-1] * n, [0] * n
-        for end, (length, rank) in self.automaton.iter(data.decode("latin-1")):
-            start = end - length + 1
-            if length > reach[start]:
-                reach[start], longest[start] = length, rank
+        text, automaton, pairs, sizes = data.decode("latin-1"), self.matcher(), self.pairs, self.bytes_of
+        n, after = len(data), automaton.iter_long
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        pos, token = 0, longest[0]
+        pos, last = 0, None
+        token = next(after(text))[1]
         while pos < n:
-            last = out[-1] if out else None
             while token >= 0:
-                end = pos + len(self.bytes_of[token])
-                if alive[end] and self.compatible(last, token):
-                    break
+                end = pos + len(sizes[token])
+                if alive[end]:
+                    fits = pairs.get(token if last is None else (last + 1) << 32 | token)
+                    if self.compatible(last, token) if fits is None else fits:
+                        break
                 token = self.prefix_token(token)
             if token >= 0:
                 out.append(token)
-                pos = end
-                token = longest[pos] if pos < n else -1
+                last, pos = token, end
+                if pos < n:
+                    token = next(after(text, pos))[1]
             else:
                 if last is None:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 alive[pos] = 0
-                out.pop()
-                pos -= len(self.bytes_of[last])
-                token = last
+                token = out.pop()
+                pos -= len(sizes[token])
+                last = out[-1] if out else None
         return out
 
     def piece(self, piece: str) -> list[int]:
