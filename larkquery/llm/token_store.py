@@ -31,7 +31,7 @@ from .common import shared_path, slices, total_text_bytes
 MAGIC = b"LQWM1\0"
 NO_ID = -(1 << 63)
 #: Bytes of a worker's word memo before it is cleared; bounds memory, not the result.
-MEMO_BYTES = 80 << 20
+MEMO_BYTES = 120 << 20
 
 
 def _bits_needed(vocabulary_size: int) -> int:
@@ -181,7 +181,9 @@ class WordCodec:
     """A tokenizer that treats words between blanks one by one, each distinct word once.
 
     Sound for tokenizers whose normalisation and pre-tokenisation never look across white space; blank, tab and line
-    ends are white space to all of them.
+    ends are white space to all of them.  Where the tokenizer lower-cases, splits by a pattern and maps bytes, words
+    of Latin letters and signs (no normalisation applies to these) are split here by the tokenizer's own pattern,
+    and each distinct piece goes to the tokenizer's model; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -193,20 +195,58 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.held = 0
+        self.split = self._splitter()
+        if self.split:
+            import regex
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            self.simple = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
+            byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.mapped = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180)}
+
+    def _splitter(self):
+        import json
+
+        import regex
+
+        made = json.loads(self.tokenizer.to_str())
+        steps = [(x["type"], x.get("content")) for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        if not known or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            return None
+        return regex.compile(cuts[0]["pattern"]["Regex"]).findall
+
+    def _simple_word(self, word: str) -> bytes:
+        pieces, out = self.pieces, []
+        for piece in self.split(word.lower()):
+            if (ids := pieces.get(piece)) is None:
+                pieces[piece] = ids = np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.mapped))], np.uint32).tobytes()
+                self.held += 120 + len(piece) + len(ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.pieces.clear()
             self.held = 0
         memo = self.memo
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new: set[str] = set()
         for words in split:
             new.update(set(words).difference(memo))
-        fresh = list(new)
-        for i in range(0, len(fresh), 2000):
-            part = fresh[i : i + 2000]
+        rest = []
+        for word in new:
+            if self.split and self.simple(word):
+                memo[word] = ids = self._simple_word(word)
+                self.held += 120 + len(word) + len(ids)
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 2000):
+            part = rest[i : i + 2000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 memo[word] = ids = np.array(found.ids, np.uint32).tobytes()
                 self.held += 120 + len(word) + len(ids)
