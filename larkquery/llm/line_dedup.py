@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, slices, write_shared
 
+SALTS = 16
+
 
 def _exploded(min_chars: int):
     def run(batches):
@@ -67,8 +69,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
     lines = write_shared(texts.mapInArrow(_exploded(min_chars), "id long, row_key long, pos int, h1 long, h2 long"), "line-hashes")
     common = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    # a line of very many documents is dealt to SALTS tasks, its verdict to each of them
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     drops = (
-        lines.join(common, ["h1", "h2"])
+        lines.withColumn("salt", F.pmod(F.xxhash64("id", "row_key"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["h1", "h2", "salt"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "row_key")
         .agg(F.collect_set("pos").alias("dropped"))
