@@ -43,9 +43,26 @@ def word_key(chunk: str) -> str:
     return _edges.sub("", chunk.lower())
 
 
-def gram_ids(word: str) -> list[int]:
-    marked = f"<{word}>".encode("utf-8")
-    return [zlib.crc32(marked[i : i + n]) % GRAM_BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)] or [zlib.crc32(marked) % GRAM_BUCKETS]
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words' n-grams, how many of them each word has); words are marked at both ends."""
+    marked = [f"<{w}>".encode("utf-8") for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    ends = np.cumsum(sizes)
+    left = ends[owner] - np.arange(len(data))  # bytes up to the end of the word
+    found, owners = [], []
+    for n in (2, *GRAMS):
+        at = np.flatnonzero(left >= n if n > 2 else (sizes[owner] == 2) & (left == 2))
+        h = np.full(len(at), n, np.uint32)
+        for k in range(n):
+            h = (h ^ data[at + k]) * np.uint32(16777619)
+        h ^= h >> np.uint32(15)
+        found.append(h % np.uint32(GRAM_BUCKETS))
+        owners.append(owner[at])
+    by = np.concatenate(owners)
+    order = np.argsort(by, kind="stable")
+    return np.concatenate(found)[order].astype(np.int64), np.bincount(by, minlength=len(words))
 
 
 def _sigmoid(x):
@@ -53,25 +70,28 @@ def _sigmoid(x):
 
 
 class WordTable:
-    """Distinct words with their hashed inputs; row 0 is padding."""
+    """Numbers distinct words; row 0 is padding.  The hashed inputs of new rows wait until they are taken."""
 
     def __init__(self):
-        self.rows: dict[str, int] = {}
-        self.word, self.grams = [0], [[0]]
+        self.rows: dict[str, int] = {"": 0}
+        self.waiting = [""]
+
+    def __len__(self) -> int:
+        return len(self.rows)
 
     def ids(self, text: str) -> np.ndarray:
         chunks, rows = text.split(), self.rows
         for c in set(chunks).difference(rows):
-            rows[c] = len(self.word)
-            key = word_key(c)
-            self.word.append(zlib.crc32(key.encode("utf-8")) % WORD_BUCKETS)
-            self.grams.append(gram_ids(key))
+            rows[c] = len(rows)
+            self.waiting.append(c)
         return np.fromiter(map(rows.__getitem__, chunks), np.int32, len(chunks))
 
-    def gram_arrays(self, start: int, end: int):
-        part = self.grams[start:end]
-        flat = np.fromiter((g for x in part for g in x), np.int64)
-        return flat, np.cumsum([0, *map(len, part)])[:-1]
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows since the last call: word bucket, n-gram buckets of all, and how many each has."""
+        keys = list(map(word_key, self.waiting))
+        self.waiting = []
+        word = np.fromiter((zlib.crc32(k.encode("utf-8")) % WORD_BUCKETS for k in keys), np.int64, len(keys))
+        return word, *gram_buckets(keys)
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
@@ -147,15 +167,11 @@ def logits_of(windows: np.ndarray, gates: np.ndarray, p: dict) -> np.ndarray:
     return out
 
 
-def word_inputs(p: dict, table: WordTable, start: int, end: int):
-    """Inputs (n, 2 * EMBED) of rows of the table."""
-    flat, starts = table.gram_arrays(start, end)
-    top = np.maximum.reduceat(p["gram"][known(p, "gram", flat)], starts, axis=0)
-    return np.concatenate([p["word"][known(p, "word", table.word[start:end])], top], 1)
-
-
-def word_gates(p: dict, table: WordTable, start: int, end: int) -> np.ndarray:
-    x = word_inputs(p, table, start, end)
+def word_gates(p: dict, taken: tuple) -> np.ndarray:
+    """Per word, its share of the gates of both directions."""
+    word, flat, counts = taken
+    top = np.maximum.reduceat(p["gram"][known(p, "gram", flat)], np.cumsum([0, *counts])[:-1], axis=0)
+    x = np.concatenate([p["word"][known(p, "word", word)], top], 1)
     return np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1).astype(np.float32)
 
 
@@ -186,16 +202,20 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weig
     return loss, g
 
 
-def start_embeddings(table: WordTable, texts: list[str], y: np.ndarray, p: dict, min_docs: int) -> None:
+def start_embeddings(cut: list[np.ndarray], y: np.ndarray, taken: tuple, p: dict, min_docs: int) -> None:
     """Set known_word and known_gram, and the first component of each embedding.
 
     Known is what at least ``min_docs`` texts hold; all else shares bucket 0.  The first component starts from the
     evidence of the label: the lower end (two standard errors) of the log-odds, where that is positive.
     """
-    for what, size, of in (("word", WORD_BUCKETS, lambda r: (table.word[r],)), ("gram", GRAM_BUCKETS, lambda r: table.grams[r])):
-        df = np.zeros((2, size))
-        for t, label in zip(texts, y, strict=True):
-            df[label, list({b for r in set(table.ids(t).tolist()) for b in of(r)})] += 1
+    word, flat, counts = taken
+    ends = np.cumsum(counts)
+    df_word, df_gram = np.zeros((2, WORD_BUCKETS)), np.zeros((2, GRAM_BUCKETS))
+    for windows, label in zip(cut, y, strict=True):
+        rows = np.unique(windows)
+        df_word[label, np.unique(word[rows])] += 1
+        df_gram[label, np.unique(np.concatenate([flat[ends[r] - counts[r] : ends[r]] for r in rows]))] += 1
+    for what, df in (("word", df_word), ("gram", df_gram)):
         seen = df.sum(0) >= min_docs
         seen[0] = False
         odds = np.log((df[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((df[0] + 0.5) / ((y == 0).sum() + 1))
@@ -213,12 +233,11 @@ def train_network(texts: list[str], labels: list[int], steps: int = 300, batch:
     """Adam with decaying embeddings; of each document the highest windows (two at most) learn its label."""
     rng, table, p = np.random.default_rng(seed), WordTable(), fresh_weights(seed)
     y = np.array(labels)
-    start_embeddings(table, texts, y, p, min_docs)
     cut = [windows_of(table.ids(t)) for t in texts]
-    n_words = len(table.word)
-    flat, starts = table.gram_arrays(0, n_words)
-    counts = np.diff([*starts, len(flat)])
-    flat, word = known(p, "gram", flat), known(p, "word", table.word)
+    word, flat, counts = taken = table.take()
+    start_embeddings(cut, y, taken, p, min_docs)
+    starts = np.cumsum(counts) - counts
+    flat, word = known(p, "gram", flat), known(p, "word", word)
     learnt = [k for k in p if not k.startswith("known")]
     m, v, step = {k: np.zeros_like(p[k]) for k in learnt}, {k: np.zeros_like(p[k]) for k in learnt}, 0
     sides = [np.flatnonzero(y == k) for k in (0, 1)]
@@ -277,16 +296,14 @@ class Scorer:
     gates: np.ndarray | None = None
 
     def windows(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.table.word) > MEMO_WORDS:
+        if len(self.table) > MEMO_WORDS:
             self.table, self.gates = WordTable(), None
         return [windows_of(self.table.ids(t or "")) for t in texts]
 
     def window_scores(self, windows: np.ndarray) -> np.ndarray:
-        done, n = 0 if self.gates is None else len(self.gates), len(self.table.word)
-        if n > done:
-            new = word_gates(self.weights, self.table, done, n)
+        if self.table.waiting:
+            new = word_gates(self.weights, self.table.take())
             self.gates = new if self.gates is None else np.concatenate([self.gates, new])
-            self.table.grams[done:n] = [()] * (n - done)
         return _sigmoid(logits_of(windows, self.gates, self.weights))
 
     def scores(self, texts: list[str | None]) -> list[float]:
