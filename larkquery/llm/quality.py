@@ -73,9 +73,8 @@ def _repeats(df: DataFrame, width: int = 8) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(F.lit(0)).cast("long"))
 
 
-def js_distance(hist: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram from a distribution; null where the histogram is empty."""
-    total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
+def js_distance(hist: Column, total: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance of a histogram with this total from a distribution; null where it is empty."""
     ref = F.array(*[F.lit(float(x)) for x in reference])
 
     def part(x: Column, q: Column) -> Column:
@@ -107,21 +106,21 @@ def quality_rules(
     df = _repeats(_histograms(df))
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    counted = write_shared(df.select(*base, "lang", "char_hist", "word_hist"), "quality-counts")
+    counted = write_shared(df.select(*base, "lang", F.length("text").cast("long").alias("n_chars"), "char_hist", "word_hist"), "quality-counts")
 
     chars, words = len(CLASSES) + 1, len(WORDS) + 1
     sums = [F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(chars)] + [F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(words)]
     refs = counted.where(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*sums).collect()
 
-    def nearest(hist: str, prefix: str, n: int) -> Column:
+    def nearest(hist: str, total_col: str, prefix: str, n: int) -> Column:
         found = []
         for r in sorted(refs, key=lambda r: r["lang"]):
             counts = [r[f"{prefix}{i}"] or 0 for i in range(n)]
             if total := sum(counts):
-                found.append(js_distance(F.col(hist), [c / total for c in counts]))
+                found.append(js_distance(F.col(hist), F.col(total_col), [c / total for c in counts]))
         none = F.lit(None).cast("double")
         return F.when(F.col("n_words") >= guard_words, F.array_min(F.array(none, *found)))
 
-    out = counted.withColumns({"char_distance": nearest("char_hist", "c", chars), "word_distance": nearest("word_hist", "w", words)})
+    out = counted.withColumns({"char_distance": nearest("char_hist", "n_chars", "c", chars), "word_distance": nearest("word_hist", "n_words", "w", words)})
     far = F.coalesce(F.col("char_distance") > most_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > most_word_distance, F.lit(False))
     return out.select(*base, (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
