@@ -8,9 +8,10 @@ product with its own transpose counts the overlap of each pair of rows; pairs un
   they are estimated on a sample of texts and kept to ``MOST_HOT`` - the order decides the work, never the result.
 * Column blocks are hash partitions of the columns, sorted; a stream over a block keeps the entries of columns with
   two rows or more.  Columns known to be hot are salted over tasks.
-* The product is accumulated first against one row of each column: the one with the largest degree, and the one
-  with the least key.  Size bounds (n_small >= 0.8 n_large) discard pairs; the exact overlap of what survives is
-  counted from the complete rows, partner by partner, in streams that hold two rows at a time.
+* The product is accumulated first against two rows of each column: the one with the largest degree, and the one
+  with the least key.  Bounds from the sizes discard pairs (n_small >= 0.8 n_large, and an overlap on the first
+  columns that leaves room for 0.8 in all); the exact overlap of what survives is counted from the complete rows,
+  partner by partner, in streams that hold two rows at a time.
 * Rows linked so far form components.  The rest of the product - all pairs of a column whose rows are in different
   components - is then accumulated and checked in the same way, so no link that would join two components is lost,
   while a group of thousands of near copies never becomes all its pairs.
@@ -34,13 +35,14 @@ from .components import components
 
 #: Bound of the broadcast list of hot columns (8 bytes each).
 MOST_HOT = 1 << 18
+#: Words of 64 bits of the bitmap that keeps unwanted texts out of a shuffle (2 MB).
+FILTER_WORDS = 1 << 18
 SAMPLE, HOT_IN_SAMPLE, SALTS = 16, 4, 64
-MEMO_WORDS = 400_000
 _K = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -48,21 +50,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes, n: int = 5) -> np.ndarray:
     """The sorted distinct n-grams (uint64) of a text's words."""
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh64_digest
 
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > MEMO_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxh64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(xxh64_digest, words)), "<u8")
     width = min(n, len(h))
-    g = np.zeros(len(h) - width + 1, np.uint64)
-    for i in range(width):
-        g = g * _K + h[i : len(h) - width + 1 + i]
-    return np.unique(_mixed(g + np.uint64(width)))
+    g = h[: len(h) - width + 1].copy()
+    for i in range(1, width):
+        g *= _K
+        g += h[i : len(h) - width + 1 + i]
+    g += np.uint64(width)
+    g = np.sort(_mixed(g))
+    keep = np.ones(len(g), bool)
+    np.not_equal(g[1:], g[:-1], out=keep[1:])
+    return g[keep]
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -71,20 +74,6 @@ def set_key(grams: np.ndarray) -> int:
     return xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _sets(n: int):
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                keys, sizes = [], []
-                for text in batch.column("text").cast(pa.binary()).to_pylist():
-                    g = shingles(text or b"", n)
-                    sizes.append(len(g))
-                    keys.append(set_key(g) if len(g) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "n"])
-
-    return run
-
-
 def _sampled_grams(n: int):
     def run(batches):
         for whole in batches:
@@ -95,27 +84,39 @@ def _sampled_grams(n: int):
     return run
 
 
-def _entries(n: int, percent: int, hot: np.ndarray):
-    """(gram, salt, node, n) of the first columns of each row; copies inside a batch once."""
+def _rows(n: int, percent: int, hot: np.ndarray):
+    """Per document its set's key and size, and the first columns of the row: ``cold`` of them not hot.
+
+    Copies inside a batch have the columns once (null elsewhere).
+    """
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                seen, parts = set(), []
+                seen, keys, sizes, colds, parts, lengths = set(), [], [], [], [], []
                 for text in batch.column("text").cast(pa.binary()).to_pylist():
                     g = shingles(text or b"", n)
-                    if not len(g) or (key := set_key(g)) in seen:
+                    key = set_key(g) if len(g) else None
+                    keys.append(key)
+                    sizes.append(len(g))
+                    if key is None or key in seen:
+                        colds.append(0)
+                        lengths.append(-1)
                         continue
                     seen.add(key)
                     first = len(g) - -(-percent * len(g) // 100) + 1
                     late = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g if len(hot) else np.zeros(len(g), bool)
                     cold = g[~late][:first]
-                    warm = g[late][: first - len(cold)]
-                    salt = np.zeros(first, np.int32)
-                    salt[len(cold) :] = key % SALTS
-                    parts.append((np.concatenate([cold, warm]).view(np.int64), salt, np.full(first, key, np.int64), np.full(first, len(g), np.int32)))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["gram", "salt", "node", "n"])
+                    parts.append(cold)
+                    if len(cold) < first:
+                        parts.append(g[late][: first - len(cold)])
+                    colds.append(len(cold))
+                    lengths.append(first)
+                lengths = np.array(lengths)
+                ends = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))]).astype(np.int32)
+                flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+                columns = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(lengths < 0, False)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(colds, pa.int32()), columns], names=["doc_id", "node", "n", "cold", "columns"])
 
     return run
 
@@ -168,8 +169,20 @@ def _shared(hot: np.ndarray):
     return run
 
 
+def _maybe(bits: np.ndarray):
+    """Texts whose id may be wanted: one bit per hashed id, so a few unwanted ones pass."""
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            word = bits[(h >> np.uint64(6)) % np.uint64(len(bits))]
+            yield batch.filter(pa.array((word >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))).select(["doc_id", "text"])
+
+    return run
+
+
 def _texts(n: int):
-    """Texts of candidate rows; where an id repeats, only the text with the wanted key."""
+    """Texts of wanted rows; where an id repeats, only the text with the wanted key."""
 
     def run(batches):
         for whole in batches:
@@ -181,6 +194,22 @@ def _texts(n: int):
     return run
 
 
+def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int) -> DataFrame:
+    """(node, text) of all rows in pairs.
+
+    The wanted ids go to the scan as a bitmap of ``FILTER_WORDS`` words at most, which keeps most other texts out of
+    the shuffle; the join after it is exact whatever the bitmap lets through.
+    """
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("partner").alias("node"))).distinct()
+    wanted = write_shared(nodes.join(reps, "node"), "wanted")
+    word, bit = f"pmod(shiftrightunsigned(xxhash64(rep), 6), {FILTER_WORDS})", "shiftleft(1L, CAST(xxhash64(rep) & 63 AS INT))"
+    words = wanted.selectExpr(f"{word} AS w", f"{bit} AS b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits[[r["w"] for r in words]] = [r["b"] for r in words]
+    some = source.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_maybe(bits.view(np.uint64)), "doc_id long, text string")
+    return some.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_texts(n), "node long, text string")
+
+
 def _overlaps(n: int, percent: int):
     """A sorted stream: of each partner first its own text, then those to compare with it."""
 
@@ -222,19 +251,30 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, group: in
 
 
 def _fits(percent: int):
+    """The smaller set is large enough for the larger."""
     return F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
 
 
+def _reaches(percent: int):
+    """``overlap``, counted over the first columns of both rows, leaves room for a link.
+
+    Up to the end of the first columns of one of the rows the count is complete, and what follows there is at most
+    ceil(0.8 n) - 1 columns; a link needs 0.8 / 1.8 of both sizes.
+    """
+    least = F.ceil((F.col("n") + F.col("pn")) * percent / F.lit(100 + percent))
+    return F.col("overlap") + F.ceil(F.greatest("n", "pn") * percent / F.lit(100)) - 1 >= least
+
+
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, linked): sets (doc_id, node, n) of every document; linked (node, component) of the sets with a link."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = write_shared(source.mapInArrow(_sets(n), "doc_id long, node long, n long"), "sets")
-
     sample = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = sample.mapInArrow(_sampled_grams(n), "gram long").groupBy("gram").count().where(F.col("count") >= HOT_IN_SAMPLE)
     hot = np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("count"), "gram").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
-    entries = source.select("text").mapInArrow(_entries(n, percent, hot), "gram long, salt int, node long, n int")
+    sets = write_shared(source.mapInArrow(_rows(n, percent, hot), "doc_id long, node long, n int, cold int, columns array<long>"), "rows")
+    entries = sets.select("node", "n", "cold", F.posexplode("columns").alias("pos", "gram"))
+    entries = entries.select("gram", F.when(F.col("pos") >= F.col("cold"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), "node", "n")
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(4 * blocks, "gram", "salt").sortWithinPartitions("gram", "node").select("gram", "node", "n")
     shared = write_shared(dealt.mapInArrow(_shared(hot), "gram long, node long, n int"), "shared-columns")
@@ -251,17 +291,15 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         .select("node", "n", "p.*")
         .where((F.col("node") != F.col("partner")) & _fits(percent))
         .groupBy("node", "partner")
-        .agg(F.count("*").alias("overlap"))
+        .agg(F.count("*").alias("overlap"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+        .where(_reaches(percent))
     )
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("overlap"), "partner"))
     first_pairs = write_shared(product.withColumn("rank", rank).where("rank <= 2").select("node", "partner"), "first-pairs")
 
     reps = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    wanted = known.select("node").join(reps, "node")
-    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text").mapInArrow(_texts(n), "node long, text string")
-    texts = write_shared(texts.dropDuplicates(["node"]), "candidate-texts")
 
-    links = write_shared(verified(first_pairs, texts, n, percent), "links")
+    links = write_shared(verified(first_pairs, texts_of(first_pairs, reps, source, n), n, percent), "links")
     part = components(links)
     labelled = write_shared(listed.select("gram", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     # what is left of the product: columns whose rows are in several components
@@ -270,12 +308,13 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     left = labelled.join(mixed, "gram")
     few = left.where("component <> most").select("gram", "node", "n", "component")
     others = left.select("gram", F.col("node").alias("partner"), F.col("n").alias("pn"), F.col("component").alias("pc"), (F.col("component") == F.col("most")).alias("large"))
-    rest = few.join(others, "gram").where((F.col("component") != F.col("pc")) & (F.col("large") | (F.col("node") < F.col("partner"))) & _fits(percent)).select("node", "partner").distinct()
+    rest = few.join(others, "gram").where((F.col("component") != F.col("pc")) & (F.col("large") | (F.col("node") < F.col("partner"))) & _fits(percent))
     swapped = F.col("node") > F.col("partner")
-    rest = rest.select(F.when(swapped, F.col("partner")).otherwise(F.col("node")).alias("node"), F.when(swapped, F.col("node")).otherwise(F.col("partner")).alias("partner")).distinct()
+    rest = rest.select(F.when(swapped, F.col("partner")).otherwise(F.col("node")).alias("node"), F.when(swapped, F.col("node")).otherwise(F.col("partner")).alias("partner"), "n", "pn")
+    rest = rest.groupBy("node", "partner").agg(F.count("*").alias("overlap"), F.first("n").alias("n"), F.first("pn").alias("pn")).where(_reaches(percent)).select("node", "partner")
     tested = first_pairs.select(F.least("node", "partner").alias("node"), F.greatest("node", "partner").alias("partner"))
     rest = write_shared(rest.join(tested, ["node", "partner"], "left_anti"), "rest-pairs")
-    more = verified(rest, texts, n, percent)
+    more = verified(rest, texts_of(rest, reps, source, n), n, percent)
     return sets, components(links.unionByName(more))
 
 
@@ -286,4 +325,4 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = reps.join(least, "component").select("node", "component_id")
     out = sets.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
