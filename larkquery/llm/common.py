@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,8 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; ``slices`` cuts to the same size.
+BATCH_BYTES = 8 << 20
+
+
 def reach_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever their working folder."""
+    """Let Python workers import this package from where the driver has it, whatever their working folder.
+
+    Also lowers the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES`` (a lower bound stays): the
+    buffers of a batch lie outside the heap, several times over in each task.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(bound).strip().lower())
+    if not now or int(now[1]) << 10 * " kmgt".index(now[2] or " ") > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
@@ -68,7 +81,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``most_bytes`` of text (one row at least)."""
     import pyarrow.compute as pc
 
