@@ -176,13 +176,7 @@ def worker_codec(path: str, pattern: str) -> BytePairCodec:
     return _codecs[key]
 
 
-def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, ids (array of int), without special tokens.
-
-    Defined cases: null text is the empty text and has no ids; null ids and repeated rows pass through; texts are
-    read whole; an empty table gives an empty result; extra columns are ignored.
-    """
-
+def _encoded(vocabulary: str, pattern: str):
     def run(batches):
         codec = worker_codec(vocabulary, pattern)
         for whole in batches:
@@ -192,12 +186,10 @@ def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
-
+    return run
 
-def decode_bpe(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Adds decoded (binary) to the rows of ``encode_bpe``; null ids decode to no bytes."""
 
+def _decoded(vocabulary: str, pattern: str):
     def run(batches):
         codec = worker_codec(vocabulary, pattern)
         for batch in batches:
@@ -206,4 +198,26 @@ def decode_bpe(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 decoded = [codec.decode(x or ()) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return run
+
+
+def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, ids (array of int), without special tokens.
+
+    Defined cases: null text is the empty text and has no ids; null ids and repeated rows pass through; texts are
+    read whole; an empty table gives an empty result; extra columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_encoded(vocabulary, pattern), "doc_id long, ids array<int>")
+
+
+def decode_bpe(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """Adds decoded (binary) to the rows of ``encode_bpe``; null ids decode to no bytes."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(vocabulary, pattern), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode_bpe`` of ``encode_bpe``, with one worker and one codec a task for both: doc_id, ids, decoded."""
+    encode, decode = _encoded(vocabulary, pattern), _decoded(vocabulary, pattern)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), "doc_id long, ids array<int>, decoded binary")

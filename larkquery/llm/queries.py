@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality
-from .bpe import decode_bpe, encode_bpe
+from .bpe import round_trip_bpe
 from .chat import fit_hmm, format_chats, raw_transcripts
 from .common import reach_package, write_shared
 from .exact_dedup import exact_dedup
@@ -80,7 +80,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Encode, decode the ids, and digest both."""
-    coded = decode_bpe(encode_bpe(docs, vocabulary, pattern), vocabulary, pattern)
+    coded = round_trip_bpe(docs, vocabulary, pattern)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",

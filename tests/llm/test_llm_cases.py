@@ -113,6 +113,7 @@ def test_bpe(messy, empty):
     codec = bpe.BytePairCodec.from_file(path, P.PATTERN)
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     got = rows(bpe.decode_bpe(bpe.encode_bpe(messy, path, P.PATTERN), path, P.PATTERN))
+    assert sorted(map(repr, rows(bpe.round_trip_bpe(messy, path, P.PATTERN)))) == sorted(map(repr, got))
     expected = [(r.doc_id, enc.encode_ordinary(r.text or ""), bytearray((r.text or "").encode())) for r in messy.collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert rows(bpe.encode_bpe(empty, path, P.PATTERN)) == []
