@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage's result is written as Parquet and read by the next.
 
-A document is known by its id: where rows of different texts share an id (not so in ``documents``), the stages that
-choose documents choose all of that id that fit.  Every stage takes null texts and ids, empty tables and extra
+A document is known by its id and a hash of its text, so that null ids and ids that rows of different texts share
+(not so in ``documents``) are chosen text by text; rows that are repeated throughout stay or go together.  Every stage takes null texts and ids, empty tables and extra
 columns; columns that are not those of ``documents`` end with the second stage.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkquery.llm.common import reach_package, write_shared
 from larkquery.llm.exact_dedup import exact_dedup
-from larkquery.llm.jaccard_join import jaccard_components
+from larkquery.llm.jaccard_join import jaccard_kept
 from larkquery.llm.langid import fit_langid, keep_identified
 from larkquery.llm.mixing import mix_sources
 from larkquery.llm.queries import MIX_BLOCK, MIX_REST, MIX_SHARES, bpe_digests
@@ -35,11 +35,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest id stays."""
+    """Of documents that links connect, the one with the smallest id stays (where none has an id, one of them)."""
     reach_package(spark)
-    gone = jaccard_components(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
+    gone = jaccard_kept(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"))
     gone = write_shared(gone, "near-copies")
-    return docs.select(COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.select(COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

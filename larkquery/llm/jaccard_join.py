@@ -116,7 +116,7 @@ def _rows(n: int, percent: int, hot: np.ndarray):
                 ends = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))]).astype(np.int32)
                 flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
                 columns = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(lengths < 0, False)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(colds, pa.int32()), columns], names=["doc_id", "node", "n", "cold", "columns"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(colds, pa.int32()), columns], names=["doc_id", "row_key", "node", "n", "cold", "columns"])
 
     return run
 
@@ -170,25 +170,31 @@ def _shared(hot: np.ndarray):
 
 
 def _maybe(bits: np.ndarray):
-    """Texts whose id may be wanted: one bit per hashed id, so a few unwanted ones pass."""
+    """Texts whose row may be wanted: one bit per hashed id and row key, so a few unwanted ones pass."""
 
     def run(batches):
         for batch in batches:
             h = batch.column("h").to_numpy().view(np.uint64)
             word = bits[(h >> np.uint64(6)) % np.uint64(len(bits))]
-            yield batch.filter(pa.array((word >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))).select(["doc_id", "text"])
+            yield batch.filter(pa.array((word >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))).select(["doc_id", "row_key", "text"])
 
     return run
 
 
 def _texts(n: int):
-    """Texts of wanted rows; where an id repeats, only the text with the wanted key."""
+    """Texts of wanted rows, once a task where a row is repeated."""
 
     def run(batches):
+        given = set()
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [set_key(g) if len(g := shingles(t or b"", n)) else None for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                right = pa.array([a == b for a, b in zip(found, batch.column("node").to_pylist(), strict=True)])
+                right = []
+                for a, b in zip(found, batch.column("node").to_pylist(), strict=True):
+                    right.append(a == b and a not in given)
+                    if right[-1]:
+                        given.add(a)
+                right = pa.array(right, pa.bool_())
                 yield batch.select(["node", "text"]).filter(right)
 
     return run
@@ -197,17 +203,18 @@ def _texts(n: int):
 def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int) -> DataFrame:
     """(node, text) of all rows in pairs.
 
-    The wanted ids go to the scan as a bitmap of ``FILTER_WORDS`` words at most, which keeps most other texts out of
+    A row is known by its id and ``row_key``, so that null or repeated ids do not meet all rows of the id.  The wanted
+    rows go to the scan as a bitmap of ``FILTER_WORDS`` words at most, which keeps most other texts out of
     the shuffle; the join after it is exact whatever the bitmap lets through.
     """
     nodes = pairs.select("node").unionByName(pairs.select(F.col("partner").alias("node"))).distinct()
     wanted = write_shared(nodes.join(reps, "node"), "wanted")
-    word, bit = f"pmod(shiftrightunsigned(xxhash64(rep), 6), {FILTER_WORDS})", "shiftleft(1L, CAST(xxhash64(rep) & 63 AS INT))"
+    word, bit = f"pmod(shiftrightunsigned(xxhash64(rep, rep_key), 6), {FILTER_WORDS})", "shiftleft(1L, CAST(xxhash64(rep, rep_key) & 63 AS INT))"
     words = wanted.selectExpr(f"{word} AS w", f"{bit} AS b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     bits = np.zeros(FILTER_WORDS, np.int64)
     bits[[r["w"] for r in words]] = [r["b"] for r in words]
-    some = source.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_maybe(bits.view(np.uint64)), "doc_id long, text string")
-    return some.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_texts(n), "node long, text string")
+    some = source.select("doc_id", "row_key", "text", F.xxhash64("doc_id", "row_key").alias("h")).mapInArrow(_maybe(bits.view(np.uint64)), "doc_id long, row_key long, text string")
+    return some.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key"))).select("node", "text").mapInArrow(_texts(n), "node long, text string")
 
 
 def _overlaps(n: int, percent: int):
@@ -266,13 +273,13 @@ def _reaches(percent: int):
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, linked): sets (doc_id, node, n) of every document; linked (node, component) of the sets with a link."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(sets, linked): sets (doc_id, row_key, node, n) of every document, row_key a hash of its text; linked (node, component) of the sets with a link."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
     sample = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = sample.mapInArrow(_sampled_grams(n), "gram long").groupBy("gram").count().where(F.col("count") >= HOT_IN_SAMPLE)
     hot = np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("count"), "gram").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
 
-    sets = write_shared(source.mapInArrow(_rows(n, percent, hot), "doc_id long, node long, n int, cold int, columns array<long>"), "rows")
+    sets = write_shared(source.mapInArrow(_rows(n, percent, hot), "doc_id long, row_key long, node long, n int, cold int, columns array<long>"), "rows")
     entries = sets.select("node", "n", "cold", F.posexplode("columns").alias("pos", "gram"))
     entries = entries.select("gram", F.when(F.col("pos") >= F.col("cold"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), "node", "n")
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -297,7 +304,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("overlap"), "partner"))
     first_pairs = write_shared(product.withColumn("rank", rank).where("rank <= 2").select("node", "partner"), "first-pairs")
 
-    reps = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.row_key").alias("rep_key"))
 
     links = write_shared(verified(first_pairs, texts_of(first_pairs, reps, source, n), n, percent), "links")
     part = components(links)
@@ -326,3 +333,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     named = reps.join(least, "component").select("node", "component_id")
     out = sets.join(named, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_kept(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, row_key (hash of the text), kept.
+
+    Of a component the row with the least id that is not null stays, or where rows of different texts share that id
+    or no id is known, the one with the least row_key.  Rows without n-grams stay.
+    """
+    sets, linked = jaccard_links(docs, n, percent, id_col, text_col)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    reps = sets.where("n > 0").groupBy("node").agg(F.min(row).alias("rep")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = reps.groupBy("component").agg(F.min("rep").alias("stays"))
+    named = reps.join(least, "component").select("node", "stays")
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("row_key") == F.col("stays.row_key"))
+    return sets.join(named, "node", "left").select("doc_id", "row_key", ((F.col("n") == 0) | F.coalesce(stays, F.lit(False))).alias("kept"))

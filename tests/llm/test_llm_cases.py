@@ -279,3 +279,29 @@ def test_pipeline_stages(spark, messy, empty):
         assert corpus_pipeline.tokenize(spark, docs, "").count() == docs.count()
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, messy, "").collect()}
     assert kept == {1, 2, None, 5, 6, 10, 11, 12, 13, 14, 15}
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Null ids and ids shared by different texts: only linked rows go, and one of each group stays."""
+    import corpus_pipeline
+
+    base = [f"x{i}" for i in range(49)]
+    near = lambda mark: " ".join(base[:-3] + [f"{mark}{i}" for i in range(3)])
+    pair = lambda mark, end: " ".join([f"{mark}{i}" for i in range(48)] + [end])
+    texts = [
+        (1, " ".join(base)),
+        (None, near("n")),  # a near copy of 1
+        (None, "a clean text that has no id and no copy anywhere"),
+        (None, "12"),
+        (None, None),
+        (7, pair("p", "one")),  # id 7: the first of one group, and a near copy in the other
+        (8, pair("p", "two")),
+        (7, pair("q", "one")),
+        (3, pair("q", "two")),
+        (None, pair("r", "one")),  # no id in the whole group
+        (None, pair("r", "two")),
+    ]
+    docs = spark.createDataFrame([(i, t, None, None, None, "", 1, 2, "", "") for i, t in texts], SCHEMA)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    sure = {texts[i] for i in (0, 2, 3, 4, 5, 8)}
+    assert sure < got and len(got - sure) == 1 and got - sure < set(texts[-2:])
