@@ -194,11 +194,17 @@ def predict_langid(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id
 
 
 def keep_identified(docs: DataFrame, model: ByteCnn | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that have a language (not ``und``) of at least this score; no shuffle."""
+    """The rows, with all their columns, that have a language (not ``und``) of at least this score; no shuffle.
+
+    Without a model nothing names a language or a score: only null texts and texts without a letter go.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, text_col, 2 << 20):
+                if model is None:
+                    yield batch.filter(pa.array([bool(t and _letter()(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+                    continue
                 pred, score = predict_texts(batch.column(text_col).to_pylist(), model)
                 yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)]))
 

@@ -305,3 +305,13 @@ def test_near_copies_go_row_by_row(spark):
     got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     sure = {texts[i] for i in (0, 2, 3, 4, 5, 8)}
     assert sure < got and len(got - sure) == 1 and got - sure < set(texts[-2:])
+
+
+def test_language_stage_without_labels(spark, messy):
+    import corpus_pipeline
+
+    none = messy.withColumn("lang", F.lit(None).cast("string"))
+    held_out = messy.where("crc32(CAST(doc_id AS STRING)) % 3 = 1")
+    for docs in (none, held_out):
+        expected = sorted(str((r.doc_id, r.text)) for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+        assert expected and sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == expected
