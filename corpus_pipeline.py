@@ -7,6 +7,9 @@ columns; columns that are not those of ``documents`` end with the second stage.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +53,33 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document doc_id, n_tokens and the digests of its ids and of the bytes they decode to."""
+    """Per document doc_id, place, n_tokens and the digests of its ids and of the bytes they decode to.
+
+    ``place`` numbers the rows of ``docs`` from 0 by file and row in it, the order of the mixture, whatever way Spark
+    packs the files into partitions; the result is in this order too.
+    """
     import public_tokenizers as tokenizers
 
     reach_package(spark)
-    return bpe_digests(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from Parquet
+        return tokenize(spark, write_shared(docs.select(COLUMNS), "unplaced"), sf_dir)
+    firsts, total = [], 0
+    for file, n in sorted((tuple(r) for r in rows.groupBy("file").count().collect()), key=lambda r: _file_order(r[0])):
+        firsts.append((file, total))
+        total += n
+    rows = rows.join(F.broadcast(spark.createDataFrame(firsts, "file string, first long")), "file").withColumn("place", F.col("first") + F.col("row"))
+    out = bpe_digests(rows, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, ("place",))
+    # the part of each place is known, so the documents are not coded twice to sample a range
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(parts, F.expr(f"CAST(place * {parts} DIV {max(total, 1)} AS INT)")).sortWithinPartitions("place")
+
+
+def _file_order(path: str) -> tuple[int, str]:
+    """Spark numbers the files of a table by partition, with more digits from the 100,000th."""
+    found = re.match(r"part-(\d+)", path.rsplit("/", 1)[-1])
+    return int(found[1]) if found else -1, path
 
 
 STAGES = [

@@ -184,7 +184,8 @@ def _encoded(vocabulary: str, pattern: str):
                 ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], names=["doc_id", "ids"])
+                kept = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), column], names=[*kept, "ids"])
 
     return run
 
@@ -196,7 +197,7 @@ def _decoded(vocabulary: str, pattern: str):
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 decoded = [codec.decode(x or ()) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return run
 
@@ -216,8 +217,11 @@ def decode_bpe(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(vocabulary, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
-def round_trip_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``decode_bpe`` of ``encode_bpe``, with one worker and one codec a task for both: doc_id, ids, decoded."""
+def round_trip_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", longs: tuple[str, ...] = ()) -> DataFrame:
+    """``decode_bpe`` of ``encode_bpe``, with one worker and one codec a task for both: doc_id, ``longs``, ids, decoded.
+
+    ``longs`` names columns of longs that pass through.
+    """
     encode, decode = _encoded(vocabulary, pattern), _decoded(vocabulary, pattern)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: decode(encode(batches)), "doc_id long, ids array<int>, decoded binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *longs, F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), "".join(f"{c} long, " for c in ("doc_id", *longs)) + "ids array<int>, decoded binary")

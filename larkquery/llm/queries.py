@@ -78,12 +78,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_docs(spark, sf_dir), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
-def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids, and digest both."""
-    coded = round_trip_bpe(docs, vocabulary, pattern)
+def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, longs: tuple[str, ...] = ()) -> DataFrame:
+    """Encode, decode the ids, and digest both; columns ``longs`` pass through."""
+    coded = round_trip_bpe(docs, vocabulary, pattern, longs=longs)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
+        *longs,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

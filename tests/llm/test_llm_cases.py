@@ -315,3 +315,21 @@ def test_language_stage_without_labels(spark, messy):
     for docs in (none, held_out):
         expected = sorted(str((r.doc_id, r.text)) for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
         assert expected and sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == expected
+
+
+def test_tokenize_keeps_the_order_of_the_mixture(spark):
+    import corpus_pipeline
+    from larkquery.llm import common
+
+    shares = corpus_pipeline.MIX_SHARES | {mixing.REST: corpus_pipeline.MIX_REST}
+    period, block = sum(shares.values()), corpus_pipeline.MIX_BLOCK
+    source = {i: name for i, name in enumerate(name for name, share in shares.items() for _ in range((2 * share) * block))}
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7 * 50), "en", s, 1) for i, s in source.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = common.write_shared(corpus_pipeline.mix(spark, docs, ""), "mixed")
+    assert len(mixed.inputFiles()) > 1
+    got = corpus_pipeline.tokenize(spark, mixed, "").collect()
+    assert [r.place for r in got] == list(range(len(source)))
+    picks = [{source[r.doc_id] for r in got[at : at + block]} for at in range(0, period * block, block)]
+    assert all(len(p) == 1 for p in picks)
+    assert all(sum(p == {name} for p in picks) == share for name, share in shares.items())
+    assert corpus_pipeline._file_order("a/part-100000-x") > corpus_pipeline._file_order("a/part-99999-x")
