@@ -183,7 +183,8 @@ class WordCodec:
     Sound for tokenizers whose normalisation and pre-tokenisation never look across white space; blank, tab and line
     ends are white space to all of them.  Where the tokenizer lower-cases, splits by a pattern and maps bytes, words
     of Latin letters and signs (no normalisation applies to these) are split here by the tokenizer's own pattern,
-    and each distinct piece goes to the tokenizer's model; all other words go through the whole tokenizer.
+    and each distinct piece goes to the tokenizer's model; all other words, and all that hold the string of an added
+    token (in any case), go through the whole tokenizer.  Where such a string has white space, whole texts do.
     """
 
     def __init__(self, path: str):
@@ -193,13 +194,16 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.held = 0
+        import regex
+
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = any(c.isspace() for t in added for c in t)
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE).search if added else lambda word: None
         self.split = self._splitter()
         if self.split:
-            import regex
             from tokenizers.pre_tokenizers import ByteLevel
 
             self.simple = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
@@ -229,6 +233,8 @@ class WordCodec:
         return b"".join(out)
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array(found.ids, np.uint32) for found in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if self.held > MEMO_BYTES:
             self.memo.clear()
             self.pieces.clear()
@@ -240,7 +246,7 @@ class WordCodec:
             new.update(set(words).difference(memo))
         rest = []
         for word in new:
-            if self.split and self.simple(word):
+            if self.split and self.simple(word) and not self.added(word):
                 memo[word] = ids = self._simple_word(word)
                 self.held += 120 + len(word) + len(ids)
             else:

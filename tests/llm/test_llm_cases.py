@@ -333,3 +333,16 @@ def test_tokenize_keeps_the_order_of_the_mixture(spark):
     assert all(len(p) == 1 for p in picks)
     assert all(sum(p == {name} for p in picks) == share for name, share in shares.items())
     assert corpus_pipeline._file_order("a/part-100000-x") > corpus_pipeline._file_order("a/part-99999-x")
+
+
+def test_token_store_reads_added_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    first, last = "<|startoftext|>", "<|endoftext|>"
+    texts = [f"{first} some text {last}", f"glued{first}to{last}words", f"{last}{last}", f"{last}é\n{first}\tÅngström{last}.", last.upper() + " " + last[:-1], "plain"]
+    expected = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {49406, 49407} <= set(expected[1])
+    assert [x.tolist() for x in token_store.WordCodec(path).encode_all(texts)] == expected
