@@ -6,7 +6,8 @@ words, each overlapping the next by half, run through a gated recurrent unit in
 the states and a logistic layer scores the window.  A document's score is its highest window: one passage suffices.
 
 The network is fitted on a bounded sample of labelled rows: at most about ``per_class`` documents of each label in
-expectation, of at most ``most_bytes`` bytes.  Scoring reads every window of every whole text.  The part of the
+expectation, whatever their length; of a document of more than ``most_windows`` windows (about 4,000 words) so many
+are learned from, spread over the whole text.  Scoring reads every window of every whole text.  The part of the
 network before the recurrence depends on the word alone and is memoised per distinct word.
 
 Defined cases: null texts and texts without words score 0; without a positive or without a negative row to learn
@@ -229,11 +230,30 @@ def known(p: dict, what: str, ids) -> np.ndarray:
     return np.where(p[f"known_{what}"][ids] > 0, ids, 0)
 
 
-def train_network(texts: list[str], labels: list[int], steps: int = 300, batch: int = 48, rate: float = 0.01, decay: float = 0.02, min_docs: int = 3, seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam with decaying embeddings; of each document the highest windows (two at most) learn its label."""
+def _sampled(most_windows: int):
+    """Labelled texts in pieces: the whole text, or where it has too many windows, that many of them."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                pieces = []
+                for text in batch.column("text").to_pylist():
+                    words = text.split()
+                    k = max(1, -(-(len(words) - WINDOW) // STRIDE) + 1)
+                    if k <= most_windows:
+                        pieces.append([text])
+                    else:
+                        pieces.append([" ".join(words[STRIDE * i : STRIDE * i + WINDOW]) for i in np.linspace(0, k - 1, most_windows).astype(int).tolist()])
+                yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array(pieces, pa.list_(pa.string()))], names=["y", "h", "pieces"])
+
+    return run
+
+
+def train_network(texts: list[list[str]], labels: list[int], steps: int = 300, batch: int = 48, rate: float = 0.01, decay: float = 0.02, min_docs: int = 3, seed: int = 11) -> dict[str, np.ndarray]:
+    """``texts`` are lists of pieces.  Adam with decaying embeddings; of each document the highest windows (two at most) learn its label."""
     rng, table, p = np.random.default_rng(seed), WordTable(), fresh_weights(seed)
     y = np.array(labels)
-    cut = [windows_of(table.ids(t)) for t in texts]
+    cut = [np.concatenate([windows_of(table.ids(t)) for t in pieces]) for pieces in texts]
     word, flat, counts = taken = table.take()
     start_embeddings(cut, y, taken, p, min_docs)
     starts = np.cumsum(counts) - counts
@@ -313,7 +333,7 @@ class Scorer:
         return [float(b) if w[0, 0] else 0.0 for b, w in zip(best, cut, strict=True)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, most_bytes: int = 4000, held_out: tuple[int, int] = (4, 2)):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, most_windows: int = 256, held_out: tuple[int, int] = (4, 2)):
     """Weights, or None without rows of both labels."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND id IS NOT NULL").where(~is_held_out("id", *held_out)).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -322,12 +342,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     limits = {0: 1.5 * per_class, 1: per_class}
     share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, limits[k] * 2 / n))) for k, n in counts.items()])
     drawn = marks.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    rows = texts.join(F.broadcast(drawn), "id").select("y", "text").orderBy(F.xxhash64("id"), "text").limit(int(4 * sum(limits.values()))).collect()
-    chosen: dict[int, list[str]] = {0: [], 1: []}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    sampled = texts.join(F.broadcast(drawn), "id").select("y", F.xxhash64("id").alias("h"), "text").mapInArrow(_sampled(most_windows), "y int, h long, pieces array<string>")
+    rows = sampled.orderBy("h", "pieces").limit(int(4 * sum(limits.values()))).collect()
+    chosen: dict[int, list[list[str]]] = {0: [], 1: []}
     for r in rows:
         if len(chosen[r["y"]]) < limits[r["y"]]:
-            chosen[r["y"]].append(r["text"])
+            chosen[r["y"]].append(r["pieces"])
     if not chosen[0] or not chosen[1]:
         return None
     return train_network(chosen[0] + chosen[1], [0] * len(chosen[0]) + [1] * len(chosen[1]))

@@ -346,3 +346,13 @@ def test_token_store_reads_added_tokens(spark):
     expected = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert {49406, 49407} <= set(expected[1])
     assert [x.tolist() for x in token_store.WordCodec(path).encode_all(texts)] == expected
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    word = lambda k: f"word{k * 7919 % 900}"
+    texts = [(i, " ".join([word(i * 31 + k) for k in range(900)] + (["vile", "filth"] * 9 if i % 2 else []))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.fit_toxicity(docs, labels) is not None
+    got = [(r.doc_id % 2, r.score) for r in toxicity.toxicity(docs, labels, most_windows=30).collect()]  # spread windows
+    assert min(s for y, s in got if y) > max(s for y, s in got if not y)
