@@ -6,12 +6,15 @@ Viterbi decoding gives the likeliest states of all lines, so a turn whose marker
 neighbours.  Turns are rendered in one form.  The model's tables are smoothed counts over labelled conversations,
 summed by Spark over all of them (a few dozen rows whatever the data).
 
-Conversations longer than ``SEGMENT`` turns are read as several transcripts of consecutive turns, so no row holds an
-unbounded conversation.
+Conversations longer than ``SEGMENT`` turns are read as several transcripts of consecutive turns.  Where a segment has
+more rows than turns (turns that repeat or are null), its rows are numbered in order of turn and read in parts of
+``SEGMENT`` rows, so no row holds an unbounded conversation; the numbers come from counts per turn and hash bucket,
+as one conversation may hold a large share of all rows.
 
 Defined cases: null texts are one empty line; null turns come first, and null roles are turns without a marker that
 the model does not learn from; unknown roles likewise; null conversation ids are one conversation; rows that are
-repeated throughout count once; ties in turn are ordered by role and text; without labelled turns the tables are
+repeated throughout count once, except those without a turn, which all count; ties in turn are ordered by role and
+text inside a part, and dealt to the parts of a large segment by hash; without labelled turns the tables are
 uniform; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -23,9 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, write_shared
 
 ROLES = ["system", "user", "assistant"]
 #: Prefixes by which raw logs name speakers.
@@ -35,6 +39,8 @@ MARKERS = {
     "assistant": ["Assistant: ", "AI: ", "A: ", "assistant> "],
 }
 SEGMENT = 256
+#: Hash buckets of the rows of one turn of a large segment.
+BUCKETS = 64
 LENGTHS = (0, 40, 120, 300)
 _marker = re.compile("|".join(f"(?P<{r}>{'|'.join(map(re.escape, m))})" for r, m in MARKERS.items()))
 N = 2 * len(ROLES)
@@ -88,7 +94,7 @@ class Hmm:
 
 
 def raw_transcripts(conversations: DataFrame, lose_one_in: int = 5) -> DataFrame:
-    """Labelled turns as raw logs: conv_id, segment, transcript, truth (array of role and line count).
+    """Labelled turns as raw logs: conv_id, segment, part, transcript, truth (array of role and line count).
 
     The style of markers depends on the conversation; one turn in ``lose_one_in`` has lost its marker.
     """
@@ -107,8 +113,35 @@ def raw_transcripts(conversations: DataFrame, lose_one_in: int = 5) -> DataFrame
             F.size(F.split(text, "\n", -1)).alias("lines"),
         ).alias("t"),
     )
-    whole = turns.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    return whole.select("conv_id", "segment", F.array_join(F.transform("ts", lambda t: t["text"]), "\n").alias("transcript"), F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["lines"].alias("lines"))).alias("truth"))
+    counts = turns.groupBy("conv_id", "segment").count().where(F.col("count") > SEGMENT)
+    large = write_shared(counts.select(F.col("conv_id").alias("large_id"), F.col("segment").alias("large_segment")), "large-segments")
+    in_large = F.col("conv_id").eqNullSafe(F.col("large_id")) & (F.col("segment") == F.col("large_segment"))
+    small = turns.join(large, in_large, "left_anti").select("conv_id", "segment", F.lit(0).cast("long").alias("part"), "t", F.lit(1).cast("long").alias("n"))
+    rows = small.unionByName(_parts(turns.join(large, in_large, "left_semi")))
+    # equal rows count once where they have a turn; in a large segment they come counted
+    once, all_rows = F.collect_set(F.when(F.col("t.turn").isNotNull(), F.col("t"))), F.collect_list(F.when(F.col("t.turn").isNull(), F.struct("t", "n")))
+    whole = rows.groupBy("conv_id", "segment", "part").agg(once.alias("once"), all_rows.alias("all"))
+    repeated = F.flatten(F.transform("all", lambda x: F.array_repeat(x["t"], x["n"].cast("int"))))
+    whole = whole.withColumn("ts", F.sort_array(F.concat(repeated, "once")))
+    return whole.select("conv_id", "segment", "part", F.array_join(F.transform("ts", lambda t: t["text"]), "\n").alias("transcript"), F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["lines"].alias("lines"))).alias("truth"))
+
+
+def _parts(turns: DataFrame) -> DataFrame:
+    """Rows of large segments, equal ones as one with their number n, each in its part of ``SEGMENT`` rows or in several."""
+    equal = turns.groupBy("conv_id", "segment", "t").agg(F.count("*").alias("n"))
+    equal = equal.withColumn("n", F.when(F.col("t.turn").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))
+    keyed = equal.withColumns({"turn": F.col("t.turn"), "hash": F.xxhash64("t")}).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
+    keys = ["conv_id", "segment", "turn", "bucket"]
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = keyed.groupBy(*keys).agg(F.sum("n").alias("n"))
+    offsets = counted.select(*[F.col(k).alias(f"o_{k}") for k in keys], before(W.partitionBy("conv_id", "segment").orderBy("turn", "bucket")).alias("offset"))
+    inside = keyed.withColumn("inside", before(W.partitionBy(*keys).orderBy("hash", "t")))
+    same = [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys]
+    at = inside.join(offsets, same).withColumn("at", F.col("offset") + F.col("inside"))
+    part = F.explode(F.sequence(F.floor(F.col("at") / SEGMENT), F.floor((F.col("at") + F.col("n") - 1) / SEGMENT)))
+    dealt = at.select("conv_id", "segment", part.alias("part"), "t", "at", "n")
+    held = F.least(F.col("at") + F.col("n"), (F.col("part") + 1) * SEGMENT) - F.greatest(F.col("at"), F.col("part") * SEGMENT)
+    return dealt.select("conv_id", "segment", "part", "t", held.alias("n"))
 
 
 def _counted(batch: pa.RecordBatch):
@@ -158,16 +191,16 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def format_chats(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
-    """Per transcript: conv_id, segment, n_lines, roles (of the recovered turns), rendered."""
+    """Per transcript: conv_id, segment, part, n_lines, roles (of the recovered turns), rendered."""
 
     def work(batch):
         parsed = [turns_of(t or "", hmm) for t in batch.column("transcript").to_pylist()]
         lines = [sum(t.count("\n") + 1 for _, t in x) for x in parsed]
         roles = [[r for r, _ in x] for x in parsed]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("conv_id"), batch.column("segment"), pa.array(lines, pa.int64()), pa.array(roles, pa.list_(pa.string())), pa.array([render(x) for x in parsed], pa.string())],
-            names=["conv_id", "segment", "n_lines", "roles", "rendered"],
+            [batch.column("conv_id"), batch.column("segment"), batch.column("part"), pa.array(lines, pa.int64()), pa.array(roles, pa.list_(pa.string())), pa.array([render(x) for x in parsed], pa.string())],
+            names=["conv_id", "segment", "part", "n_lines", "roles", "rendered"],
         )
 
-    rows = transcripts.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("segment").cast("long").alias("segment"), "transcript")
-    return arrow_map(rows, work, "conv_id long, segment long, n_lines long, roles array<string>, rendered string")
+    rows = transcripts.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("segment").cast("long").alias("segment"), "part", "transcript")
+    return arrow_map(rows, work, "conv_id long, segment long, part long, n_lines long, roles array<string>, rendered string")

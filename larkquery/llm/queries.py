@@ -130,11 +130,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     reach_package(spark)
     raw = write_shared(raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
     found = format_chats(raw, fit_hmm(raw))
-    true = raw.select("conv_id", "segment", F.transform("truth", lambda t: t["role"]).alias("true_roles"))
-    both = found.join(true, found["conv_id"].eqNullSafe(true["conv_id"]) & (found["segment"] == true["segment"])).select(found["*"], "true_roles")
+    true = raw.select("conv_id", "segment", "part", F.transform("truth", lambda t: t["role"]).alias("true_roles"))
+    both = found.join(true, found["conv_id"].eqNullSafe(true["conv_id"]) & (found["segment"] == true["segment"]) & (found["part"] == true["part"])).select(found["*"], "true_roles")
     return both.select(
         "conv_id",
         "segment",
+        "part",
         "n_lines",
         F.size("roles").cast("long").alias("n_turns"),
         F.array_join("roles", ",").alias("roles"),

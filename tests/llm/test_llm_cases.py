@@ -356,3 +356,21 @@ def test_toxicity_learns_from_long_documents(spark):
     assert toxicity.fit_toxicity(docs, labels) is not None
     got = [(r.doc_id % 2, r.score) for r in toxicity.toxicity(docs, labels, most_windows=30).collect()]  # spread windows
     assert min(s for y, s in got if y) > max(s for y, s in got if not y)
+
+
+def test_chat_of_one_large_conversation(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(i, 0, "user", f"hi {i}") for i in range(1200)]
+    hot = [(None, k % 3, "user", f"line {k}") for k in range(900)]  # many rows of a turn
+    equal = [(-1, None, "user", "same")] * 600 + [(-2, None, "user", "twice")] * 2
+    raw = chat.raw_transcripts(spark.createDataFrame(turns + hot + equal, schema))
+    got = {}
+    for r in raw.collect():
+        assert len(r.truth) <= chat.SEGMENT
+        got.setdefault(r.conv_id, {})[r.part] = (r.segment, [x for x in r.transcript.split("\n")])
+    lines = lambda i: [x for part in sorted(got[i]) for x in got[i][part][1]]
+    assert sorted(x.split("line ")[1] for x in lines(None)) == sorted(str(k) for k in range(900))
+    ordered = [int(x.split("line ")[1]) % 3 for x in lines(None)]
+    assert ordered == sorted(ordered) and len(got[None]) == 4
+    assert len(lines(-1)) == 600 and len(lines(-2)) == 2
+    assert chat.format_chats(raw, chat.fit_hmm(raw)).count() == raw.count() == 1200 + 4 + 3 + 1
