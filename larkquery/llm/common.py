@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,10 +23,13 @@ ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary folder is made and set.
+    Where the session names none, a local master gets a temporary folder; a cluster, whose machines would each write
+    to a folder of their own, gets an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkquery-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,8 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 8 << 20
 
 
+@cache
+def _package() -> str:
+    """This package as a zip file, made once a driver; Spark ships it."""
+    root, made = Path(__file__).resolve().parents[1], Path(tempfile.mkdtemp(prefix="larkquery-package-"))
+    with zipfile.ZipFile(made / f"{root.name}.zip", "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    return str(made / f"{root.name}.zip")
+
+
 def reach_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever their working folder.
+    """Let Python workers import this package, wherever they run: Spark ships it, once an application.
 
     Also lowers the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES`` (a lower bound stays): the
     buffers of a batch lie outside the heap, several times over in each task.
@@ -43,10 +60,26 @@ def reach_package(spark: SparkSession) -> None:
     now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(bound).strip().lower())
     if not now or int(now[1]) << 10 * " kmgt".index(now[2] or " ") > BATCH_BYTES:
         spark.conf.set(bound, str(BATCH_BYTES))
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        spark.sparkContext.addPyFile(_package())
+        _shipped.add(app)
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Give executors a copy of a file that the driver has; ``local_file`` finds it there."""
+    if (key := f"{spark.sparkContext.applicationId} {path}") not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+
+
+def local_file(path: str) -> str:
+    """On a worker: the file itself where it is, else the copy that Spark shipped."""
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+_shipped: set[str] = set()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -54,10 +87,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, outlives executors."""
+def write_shared(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, outlives executors.
+
+    ``files`` bounds the files of a small table, and with them the tasks of its last stage.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,14 +107,38 @@ def total_text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
 
 
+def release_memory() -> None:
+    """Give back what a task has freed, as Spark keeps its Python workers for the tasks that follow."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package shipped to the workers, which give back their memory at the end of a task."""
+    reach_package(df.sparkSession)
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(held, schema)
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function that sees one record batch at a time."""
+    """``map_arrow`` of a function that sees one record batch at a time."""
 
     def run(batches):
         for batch in batches:
             yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_path, slices, text_rows, total_text_bytes
+from .common import arrow_map, map_arrow, shared_path, slices, text_rows, total_text_bytes
 
 RECORD = "h long, content binary, top_id long, n long"
 LEVEL = "sha string, keep_id long, group_size long, h long, content binary, top_id long, n long"
@@ -138,7 +138,7 @@ def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         dealt = records.repartition(n, F.xxhash64(F.lit(level), F.col("h")))
         paths.append(shared_path(spark, f"grace-level{level}"))
-        dealt.mapInArrow(_bucket(bucket_bytes), LEVEL).write.parquet(paths[-1])
+        map_arrow(dealt, _bucket(bucket_bytes), LEVEL).write.parquet(paths[-1])
         deferred = spark.read.schema(LEVEL).parquet(paths[-1]).where(F.col("content").isNotNull())
         left = deferred.agg(F.sum(F.octet_length("content"))).first()[0]
         if left is None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, slices
+from .common import is_held_out, map_arrow, slices
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -150,7 +150,7 @@ def fit_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return None
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
     drawn = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20))
-    sample = drawn.select("lang", "text").mapInArrow(_spread(windows_per_doc), "lang string, bytes binary").collect()
+    sample = map_arrow(drawn.select("lang", "text"), _spread(windows_per_doc), "lang string, bytes binary").collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))
@@ -190,7 +190,7 @@ def predict_langid(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id
                 pred, score = predict_texts(batch.column("text").to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: ByteCnn | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
@@ -208,7 +208,7 @@ def keep_identified(docs: DataFrame, model: ByteCnn | None, least_score: float =
                 pred, score = predict_texts(batch.column(text_col).to_pylist(), model)
                 yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (3, 1), **fit) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, slices, write_shared
+from .common import ASCII_SPACE, map_arrow, slices, write_shared
 
 SALTS = 16
 
@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in at least ``min_docs`` documents lose all their lines except in the largest id that holds them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
-    lines = write_shared(texts.mapInArrow(_exploded(min_chars), "id long, row_key long, pos int, h1 long, h2 long"), "line-hashes")
+    lines = write_shared(map_arrow(texts, _exploded(min_chars), "id long, row_key long, pos int, h1 long, h2 long"), "line-hashes")
     common = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     # a line of very many documents is dealt to SALTS tasks, its verdict to each of them
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -80,4 +80,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumnsRenamed({"id": "d_id", "row_key": "d_key"})
     )
     joined = texts.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("row_key") == F.col("d_key")), "left")
-    return joined.select("id", "text", F.sort_array("dropped").alias("dropped")).mapInArrow(_reassembled, "doc_id long, n_lines long, n_dropped long, text string")
+    return map_arrow(joined.select("id", "text", F.sort_array("dropped").alias("dropped")), _reassembled, "doc_id long, n_lines long, n_dropped long, text string")

@@ -6,8 +6,8 @@ shared folder: the wavelet matrix of the ids (bit-planes from the highest bit; e
 ones) and the ids and lengths of its documents.  From one file, without decoding it, a reader gets the token at a
 position, the count of a token in a range and the places where it occurs, by rank and select on the planes.
 
-A file is written under a temporary name and moved, so a task that runs twice leaves one file.  The driver sees one
-row per shard (the manifest), which gives each shard its first global position.
+A file is written under a temporary name and moved, so a task that runs twice leaves one file.  The manifest, a
+written table, gives each shard its first global position; the reader joins it.
 
 Defined cases: null text is the empty text, so the document has its end id only; null ids come first; rows that
 repeat an id are all stored, ordered by the hash of their text; a document longer than a shard makes a longer
@@ -23,15 +23,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices, total_text_bytes
+from .common import local_file, map_arrow, shared_path, ship_file, slices, total_text_bytes, write_shared
+from .memo import Memo, run_sums
 
 MAGIC = b"LQWM1\0"
 NO_ID = -(1 << 63)
-#: Bytes of a worker's word memo before it is cleared; bounds memory, not the result.
-MEMO_BYTES = 120 << 20
+#: Words and pieces a worker remembers before it starts anew; bounds memory, not the result.
+MEMO_WORDS = 600_000
 
 
 def _bits_needed(vocabulary_size: int) -> int:
@@ -53,21 +56,21 @@ class WaveletMatrix:
         x = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes = [], []
         for b in range(bits - 1, -1, -1):
-            one = (x >> b & 1).astype(bool)
+            one = (x & x.dtype.type(1 << b)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = x.compress(~one)
+            low = np.flatnonzero(~one)  # positions are far cheaper here than masks
             zeros.append(len(low))
-            x = np.concatenate([low, x.compress(one)])
+            x = np.concatenate([x.take(low), x.take(np.flatnonzero(one))])
         return cls(len(tokens), bits, zeros, planes)
 
     def decode(self) -> np.ndarray:
         """All tokens: undo the planes from the last to the first."""
         x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            before = np.empty_like(x)
-            before[~one] = x[: self.zeros[level]]
-            before[one] = x[self.zeros[level] :] | x.dtype.type(1 << (self.bits - 1 - level))
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            before, zeros = np.empty_like(x), self.zeros[level]
+            before[np.flatnonzero(~one)] = x[:zeros]
+            before[np.flatnonzero(one)] = x[zeros:] | x.dtype.type(1 << (self.bits - 1 - level))
             x = before
         return x.astype(np.uint32)
 
@@ -177,100 +180,151 @@ class Shard:
         return cls([None if d == NO_ID else d for d in ids], np.frombuffer(sections[1], "<u8").astype(np.int64), WaveletMatrix(n, bits, zeros, [np.frombuffer(s, np.uint8) for s in sections[2:]]))
 
 
+def _joined(strings: pa.Array, by: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), by)[0].as_py()
+
+
+def _flat_ids(encodings) -> tuple[np.ndarray, np.ndarray]:
+    found = [x.ids for x in encodings]
+    return np.array([x for ids in found for x in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+
 class WordCodec:
     """A tokenizer that treats words between blanks one by one, each distinct word once.
 
     Sound for tokenizers whose normalisation and pre-tokenisation never look across white space; blank, tab and line
-    ends are white space to all of them.  Where the tokenizer lower-cases, splits by a pattern and maps bytes, words
-    of Latin letters and signs (no normalisation applies to these) are split here by the tokenizer's own pattern,
-    and each distinct piece goes to the tokenizer's model; all other words, and all that hold the string of an added
-    token (in any case), go through the whole tokenizer.  Where such a string has white space, whole texts do.
+    ends are white space to all of them.  Where the tokenizer lower-cases, splits by a pattern, maps bytes and marks
+    the end of each piece, words of Latin letters and signs (no normalisation applies to these) are split here by the
+    tokenizer's own pattern, and the new distinct pieces of a batch go to the tokenizer's model together; all other
+    words, and all that hold the string of an added token (in any case), go through the whole tokenizer.  Where such a
+    string has white space, whole texts do.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.held = 0
-        import regex
-
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = any(c.isspace() for t in added for c in t)
-        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE).search if added else lambda word: None
-        self.split = self._splitter()
-        if self.split:
-            from tokenizers.pre_tokenizers import ByteLevel
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = any(c.isspace() for t in self.added for c in t)
+        pattern = self._pattern()
+        if pattern:
+            from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-            self.simple = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
+            self.split = regex.compile(f"{pattern}|\n").findall
             byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
             self.mapped = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180)}
-
-    def _splitter(self):
+            self.model = Tokenizer(self.tokenizer.model)  # no normalisation: pieces between blanks
+            self.model.pre_tokenizer = WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+            self.last[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.simple = pattern is not None
+        self._start()
+
+    def _start(self) -> None:
+        self.words, self.pieces = Memo(), Memo()
+
+    def _pattern(self) -> str | None:
         import json
 
-        import regex
-
         made = json.loads(self.tokenizer.to_str())
         steps = [(x["type"], x.get("content")) for x in (made.get("normalizer") or {}).get("normalizers", [])]
         cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
         known = steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
         if not known or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
             return None
-        return regex.compile(cuts[0]["pattern"]["Regex"]).findall
-
-    def _simple_word(self, word: str) -> bytes:
-        pieces, out = self.pieces, []
-        for piece in self.split(word.lower()):
-            if (ids := pieces.get(piece)) is None:
-                pieces[piece] = ids = np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.mapped))], np.uint32).tobytes()
-                self.held += 120 + len(piece) + len(ids)
-            out.append(ids)
-        return b"".join(out)
+        model = made["model"]
+        if model["type"] != "BPE" or not model["end_of_word_suffix"] or model["unk_token"] or model["dropout"]:
+            return None
+        return cuts[0]["pattern"]["Regex"]
+
+    def _simple_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) by way of their pieces; line ends part the words."""
+        found = pa.array(self.split(_joined(words, "\n").lower()), pa.string()).dictionary_encode()
+        distinct, at = found.dictionary, found.indices.to_numpy()
+        breaks = pc.equal(distinct, "\n")
+        rows = pc.if_else(breaks, -1, self.pieces.find(distinct))
+        if len(new := distinct.filter(pc.is_null(rows))):
+            # in parts, as the tokenizer keeps the offsets of all that it reads at once
+            ids = [self.model.encode_batch_fast([_joined(new.slice(i, 2000), " ").translate(self.mapped)])[0].ids for i in range(0, len(new), 2000)]
+            ids = np.concatenate([np.array(x, np.uint32) for x in ids])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(new) or ends[-1] != len(ids):
+                raise RuntimeError("the model's tokens do not end where the pieces do")
+            rows = self.pieces.add(rows, new, ids, np.diff(ends, prepend=0))
+        rows = rows.to_numpy()[at]
+        parts = np.diff(np.flatnonzero(rows < 0), prepend=-1, append=len(rows)) - 1  # pieces of each word
+        ids, sizes = self.pieces.take(rows[rows >= 0])
+        return ids, run_sums(sizes, parts)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of words that are not known yet."""
+        simple = pa.array(np.zeros(len(words), bool))
+        if self.simple:
+            simple = pc.match_substring_regex(words, "^[!-~\u00a1-\u012f\u0131-\u017f]+$")
+            for token in self.added:
+                simple = pc.and_not(simple, pc.match_substring(words, token, ignore_case=True))
+        done = simple.to_numpy(zero_copy_only=False)
+        if done.all():
+            return self._simple_words(words)
+        sizes, ids = np.empty(len(words), np.int64), {True: np.empty(0, np.uint32)}
+        if done.any():
+            ids[True], sizes[done] = self._simple_words(words.filter(simple))
+        rest = words.filter(pc.invert(simple))
+        parts = [_flat_ids(self.tokenizer.encode_batch_fast(rest.slice(i, 2000).to_pylist(), add_special_tokens=False)) for i in range(0, len(rest), 2000)]
+        ids[False], sizes[~done] = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out = np.empty(sizes.sum(), np.uint32)
+        of = np.repeat(done, sizes)
+        out[of], out[~of] = ids[True], ids[False]
+        return out, sizes
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); null is the empty text."""
+        texts = pc.fill_null(texts, "")
+        if self.whole:
+            return _flat_ids(self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False))
+        if len(self.words) + len(self.pieces) > MEMO_WORDS:
+            self._start()
+        for white in "\n\t\r":
+            texts = pc.replace_substring(texts, white, " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        rows = self.words.find(words.dictionary)
+        if len(new := words.dictionary.filter(pc.is_null(rows))):
+            rows = self.words.add(rows, new, *self._encoded(new))
+        ids, sizes = self.words.take(rows.to_numpy()[words.indices.to_numpy()])
+        return ids, run_sums(sizes, pc.list_value_length(split).to_numpy().astype(np.int64))
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        if self.whole:
-            return [np.array(found.ids, np.uint32) for found in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.pieces.clear()
-            self.held = 0
-        memo = self.memo
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(set(words).difference(memo))
-        rest = []
-        for word in new:
-            if self.split and self.simple(word) and not self.added(word):
-                memo[word] = ids = self._simple_word(word)
-                self.held += 120 + len(word) + len(ids)
-            else:
-                rest.append(word)
-        for i in range(0, len(rest), 2000):
-            part = rest[i : i + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = ids = np.array(found.ids, np.uint32).tobytes()
-                self.held += 120 + len(word) + len(ids)
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint32) for words in split]
+        ids, sizes = self.encode_batch(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
 _codecs: dict[str, WordCodec] = {}
 
 
 def _codec(path: str) -> WordCodec:
+    """One codec for each worker process and tokenizer file, which Spark ships to where it is not."""
     if path not in _codecs:
-        _codecs[path] = WordCodec(path)
+        _codecs[path] = WordCodec(local_file(path))
     return _codecs[path]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, vocabulary_size: int, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, shard_tokens: int = 1 << 22) -> tuple[str, list[tuple[str, int, int]]]:
-    """Write shards below ``out``; returns the folder and (file name, first global position, tokens) of each shard."""
+#: Shards of so many tasks are numbered together; only sums of such blocks meet in one window.
+MANIFEST_BLOCK = 1024
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, vocabulary_size: int, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, shard_tokens: int = 1 << 22) -> tuple[str, DataFrame]:
+    """Write shards below ``out``; returns the folder and the manifest, a written table.
+
+    The manifest has a row for each shard: name, start (its first global position), n_tokens.
+    """
     spark = docs.sparkSession
+    ship_file(spark, tokenizer)
     out = out or shared_path(spark, "token-shards")
     bits = _bits_needed(max(vocabulary_size, end_id + 1))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_text_bytes(docs, text_col) / part_bytes))
@@ -287,45 +341,46 @@ def write_tokens(docs: DataFrame, tokenizer: str, vocabulary_size: int, end_id:
 
         def flush():
             data = pack_shard(np.concatenate(parts), ids, lengths, bits)
-            name = f"part-{part:06d}-{len(rows):06d}.wvm"
+            name = f"part-{part:09d}-{len(rows):06d}.wvm"
             store.create_dir(folder)
             with store.open_output_stream(hidden := f"{folder}/_{name}.{uuid.uuid4().hex}") as stream:
                 stream.write(data)
             store.move(hidden, f"{folder}/{name}")
-            rows.append((name, sum(lengths)))
+            rows.append((name, part, sum(lengths)))
             ids.clear(), lengths.clear(), parts.clear()
 
         held = 0
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                for doc_id, tokens in zip(batch.column("id").to_pylist(), codec.encode_all(batch.column("text").to_pylist()), strict=True):
+                tokens, sizes = codec.encode_batch(batch.column("text"))
+                ends = np.cumsum(sizes)
+                for doc_id, a, b in zip(batch.column("id").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                     ids.append(doc_id)
-                    lengths.append(len(tokens) + 1)
-                    parts.extend((tokens, end))
-                    held += len(tokens) + 1
+                    lengths.append(b - a + 1)
+                    parts.extend((tokens[a:b], end))
+                    held += b - a + 1
                     if held >= shard_tokens:
                         flush()
                         held = 0
         if ids:
             flush()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["name", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["name", "part", "n_tokens"])
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    manifest, start = [], 0
-    for name, tokens in sorted(tuple(r) for r in ordered.mapInArrow(run, "name string, n_tokens long").collect()):
-        manifest.append((name, start, tokens))
-        start += tokens
-    return out, manifest
+    shards = write_shared(map_arrow(ordered, run, "name string, part long, n_tokens long"), "shards").withColumn("block", F.floor(F.col("part") / MANIFEST_BLOCK))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = shards.groupBy("block").agg(F.sum("n_tokens").alias("n_tokens")).select("block", before(W.orderBy("block")).alias("first"))
+    inside = shards.withColumn("inside", before(W.partitionBy("block").orderBy("name")))
+    return out, write_shared(inside.join(blocks, "block").select("name", (F.col("first") + F.col("inside")).alias("start"), "n_tokens"), "manifest")
 
 
-def read_tokens(spark, folder: str, manifest: list[tuple[str, int, int]]) -> DataFrame:
+def read_tokens(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """Per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not manifest:
-        return spark.createDataFrame([], schema)
-    first = {name: start for name, start, _ in manifest}
+    schema = "name string, doc_id long, inside long, n_tokens long, ids_crc32 long"
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def run(batches):
         for batch in batches:
@@ -335,6 +390,9 @@ def read_tokens(spark, folder: str, manifest: list[tuple[str, int, int]]) -> Dat
                 ends = np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
                 crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + first[path.rsplit("/", 1)[1]]), pa.array(shard.lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                name = pa.array([path.rsplit("/", 1)[1]]).dictionary_encode().take(pa.array(np.zeros(len(crcs), np.int64))).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(shard.doc_ids, pa.int64()), pa.array(starts), pa.array(shard.lengths), pa.array(crcs, pa.int64())], names=["name", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*.wvm").load(folder).select("path", "content").mapInArrow(run, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.wvm").load(folder).select("path", "content")
+    found = map_arrow(files, run, schema).join(manifest.select("name", "start"), "name")
+    return found.select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

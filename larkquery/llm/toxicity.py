@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, slices
+from .common import is_held_out, map_arrow, slices
 
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
@@ -343,7 +343,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, limits[k] * 2 / n))) for k, n in counts.items()])
     drawn = marks.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    sampled = texts.join(F.broadcast(drawn), "id").select("y", F.xxhash64("id").alias("h"), "text").mapInArrow(_sampled(most_windows), "y int, h long, pieces array<string>")
+    sampled = map_arrow(texts.join(F.broadcast(drawn), "id").select("y", F.xxhash64("id").alias("h"), "text"), _sampled(most_windows), "y int, h long, pieces array<string>")
     rows = sampled.orderBy("h", "pieces").limit(int(4 * sum(limits.values()))).collect()
     chosen: dict[int, list[list[str]]] = {0: [], 1: []}
     for r in rows:
@@ -365,7 +365,7 @@ def score_toxicity(docs: DataFrame, weights, id_col: str = "doc_id", text_col: s
                 scores = scorer.scores(texts) if scorer else [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out: tuple[int, int] = (4, 2), **fit) -> DataFrame:
