@@ -22,18 +22,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+#: Edges in one written file of a round.
+FILE_EDGES = 500_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u, v) of longs, any direction -> (node, component) for every node with an edge; component: its least node.
 
     Loops and repeated edges change nothing; null ends are ignored.  Every round is written to the shared folder.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    now = write_shared(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(high, low).distinct(), "edges")
+    now = write_shared(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(high, low), "edges")
     seen = None
     for _ in range(most_rounds):
         sign = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if sign["n"] == 0 or sign == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = sign
-        now = write_shared(_small_star(_large_star(now).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+        stars = _small_star(_large_star(now).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        now = write_shared(stars, "edges", files=-(-sign["n"] // FILE_EDGES))
     raise RuntimeError("components did not settle")

@@ -4,17 +4,22 @@ Rows of the matrix are distinct shingle sets (copies share a row), columns are 6
 product with its own transpose counts the overlap of each pair of rows; pairs under the size-derived bounds go.
 
 * A row of n n-grams must share one of its first n - ceil(0.8 n) + 1 columns, in any one order of the columns, with
-  every row it links to.  So candidates need only these columns.  The order puts columns of many documents last;
-  they are estimated on a sample of texts and kept to ``MOST_HOT`` - the order decides the work, never the result.
+  every row it links to.  So candidates need only these columns.  The order puts frequent (hot) columns last; they are
+  estimated on a sample of the sets and named by a bitmap of bounded size - the order decides the work, never the
+  result.
 * Column blocks are hash partitions of the columns, sorted; a stream over a block keeps the entries of columns with
-  two rows or more.  Columns known to be hot are salted over tasks.
+  two rows or more.  Hot columns are salted over tasks.
 * The product is accumulated first against two rows of each column: the one with the largest degree, and the one
   with the least key.  Bounds from the sizes discard pairs (n_small >= 0.8 n_large, and an overlap on the first
   columns that leaves room for 0.8 in all); the exact overlap of what survives is counted from the complete rows,
   partner by partner, in streams that hold two rows at a time.
-* Rows linked so far form components.  The rest of the product - all pairs of a column whose rows are in different
+* Rows linked so far form components.  The rest of the product - pairs of a column whose rows are in different
   components - is then accumulated and checked in the same way, so no link that would join two components is lost,
   while a group of thousands of near copies never becomes all its pairs.
+* The rest is blocked by size as well: a column at place p of a row of n can be the first that it shares with a row of
+  m only where p <= n - 80 (n + m) / 180, that is up to a largest m.  Each row meets only the bands of sizes from its
+  own up to that bound, and where the bound is under its own size it meets none.  So rows that share a long template,
+  but not enough of it to link, never meet, however many they are.
 
 Defined cases: texts without words (null, empty, blanks) have no n-grams, link with nothing and are their own
 component; texts with fewer words than n have one n-gram, the whole sequence; null ids take part, but the id of a
@@ -24,20 +29,27 @@ empty result; extra columns are ignored.  Sets are told apart by 64-bit hashes o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, write_shared
+from .common import map_arrow, slices, write_shared
 from .components import components
 
-#: Bound of the broadcast list of hot columns (8 bytes each).
-MOST_HOT = 1 << 18
+#: Bits of the bitmap of hot columns for each of them, and bits at most (16 MB).
+HOT_BITS, MOST_HOT_BITS = 64, 1 << 27
 #: Words of 64 bits of the bitmap that keeps unwanted texts out of a shuffle (2 MB).
 FILTER_WORDS = 1 << 18
 SAMPLE, HOT_IN_SAMPLE, SALTS = 16, 4, 64
+#: Sizes of rows in one band differ by this factor at most.
+BAND = 1.06
+#: Rows of a document or a pair in one file of a small table.
+FILE_ROWS = 100_000
+SLICE = 2 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,17 +86,60 @@ def set_key(grams: np.ndarray) -> int:
     return xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _sampled_grams(n: int):
+def _sampled_sets(n: int):
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
-                found = [shingles(t or b"", n) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
+            for batch in slices(whole, "text", SLICE):
+                found = {}
+                for t in batch.column("text").cast(pa.binary()).to_pylist():
+                    if len(g := shingles(t or b"", n)):
+                        found[set_key(g)] = g.view(np.int64)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "grams"])
 
     return run
 
 
-def _rows(n: int, percent: int, hot: np.ndarray):
+class HotColumns:
+    """A bitmap that holds all hot columns, and by chance a few others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __contains__(self, gram) -> bool:
+        return bool(self.among(np.array([gram], np.uint64))[0])
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        """Which of the columns (uint64) are hot."""
+        if not len(self.bits):
+            return np.zeros(len(grams), bool)
+        word = self.bits[(grams >> np.uint64(6)) & np.uint64(len(self.bits) - 1)]
+        return (word >> (grams & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    @classmethod
+    def of(cls, source: DataFrame, n: int) -> HotColumns:
+        """Columns of ``HOT_IN_SAMPLE`` sampled sets or more, or of so many more that they fit the bitmap."""
+        sample = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+        sets = map_arrow(sample, _sampled_sets(n), "node long, grams array<long>").dropDuplicates(["node"])
+        counts = sets.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= HOT_IN_SAMPLE)
+        counts = write_shared(counts, "hot-columns")
+        most, total, least = MOST_HOT_BITS // HOT_BITS, 0, HOT_IN_SAMPLE
+        for r in counts.groupBy("count").agg(F.count("*").alias("k")).orderBy(F.desc("count")).collect():  # as many rows as different counts
+            if total + r["k"] > most:
+                least = r["count"] + 1
+                break
+            total += r["k"]
+        if not total:
+            return cls(np.empty(0, np.uint64))
+        words = 1 << max(0, math.ceil(math.log2(total * HOT_BITS / 64)))
+        word, bit = f"shiftrightunsigned(gram, 6) & {words - 1}", "shiftleft(1L, CAST(gram & 63 AS INT))"
+        rows = counts.where(F.col("count") >= least).selectExpr(f"{word} AS w", f"{bit} AS b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+        bits = np.zeros(words, np.int64)
+        bits[[r["w"] for r in rows]] = [r["b"] for r in rows]
+        return cls(bits.view(np.uint64))
+
+
+def _rows(n: int, percent: int, hot: HotColumns):
     """Per document its set's key and size, and the first columns of the row: ``cold`` of them not hot.
 
     Copies inside a batch have the columns once (null elsewhere).
@@ -92,7 +147,7 @@ def _rows(n: int, percent: int, hot: np.ndarray):
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 seen, keys, sizes, colds, parts, lengths = set(), [], [], [], [], []
                 for text in batch.column("text").cast(pa.binary()).to_pylist():
                     g = shingles(text or b"", n)
@@ -105,7 +160,7 @@ def _rows(n: int, percent: int, hot: np.ndarray):
                         continue
                     seen.add(key)
                     first = len(g) - -(-percent * len(g) // 100) + 1
-                    late = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g if len(hot) else np.zeros(len(g), bool)
+                    late = hot.among(g)
                     cold = g[~late][:first]
                     parts.append(cold)
                     if len(cold) < first:
@@ -121,17 +176,15 @@ def _rows(n: int, percent: int, hot: np.ndarray):
     return run
 
 
-def _shared(hot: np.ndarray):
+def _shared(hot: HotColumns):
     """From a sorted block: the entries of columns with several rows (of hot columns all, as other salts hold more)."""
-    hot = hot.view(np.int64)
-    hot = np.sort(hot)
 
     def run(batches):
         held = None
-        names = ["gram", "node", "n"]
+        names = ["gram", "node", "n", "top"]
         last_kept = None  # the last entry given out or passed over for good: (gram, node)
 
-        def keep(gram, node, n, final):
+        def keep(gram, node, n, top, final):
             nonlocal last_kept
             fresh = np.ones(len(gram), bool)
             fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
@@ -140,19 +193,18 @@ def _shared(hot: np.ndarray):
             if last_kept is not None and len(gram):
                 before[0] = gram[0] == last_kept[0]
                 fresh[0] = not (before[0] and node[0] == last_kept[1])
-            gram, node, n, before = gram[fresh], node[fresh], n[fresh], before[fresh]
+            gram, node, n, top, before = gram[fresh], node[fresh], n[fresh], top[fresh], before[fresh]
             after = np.zeros(len(gram), bool)
             after[:-1] = gram[1:] == gram[:-1]
-            hot_here = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram if len(hot) else np.zeros(len(gram), bool)
-            take = before | after | hot_here
+            take = before | after | hot.among(gram.view(np.uint64))
             rest = None
             if not final and len(gram):  # the last entry waits for what follows
-                rest = gram[-1:], node[-1:], n[-1:]
+                rest = gram[-1:], node[-1:], n[-1:], top[-1:]
                 take = take[:-1]
-                gram, node, n = gram[:-1], node[:-1], n[:-1]
+                gram, node, n, top = gram[:-1], node[:-1], n[:-1], top[:-1]
             if len(gram):
                 last_kept = gram[-1], node[-1]
-            return pa.RecordBatch.from_arrays([pa.array(gram[take]), pa.array(node[take]), pa.array(n[take])], names=names), rest
+            return pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (gram, node, n, top)], names=names), rest
 
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in names]
@@ -187,7 +239,7 @@ def _texts(n: int):
     def run(batches):
         given = set()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 found = [set_key(g) if len(g := shingles(t or b"", n)) else None for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 right = []
                 for a, b in zip(found, batch.column("node").to_pylist(), strict=True):
@@ -200,7 +252,7 @@ def _texts(n: int):
     return run
 
 
-def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int) -> DataFrame:
+def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, files: int) -> DataFrame:
     """(node, text) of all rows in pairs.
 
     A row is known by its id and ``row_key``, so that null or repeated ids do not meet all rows of the id.  The wanted
@@ -208,13 +260,14 @@ def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int) -> Da
     the shuffle; the join after it is exact whatever the bitmap lets through.
     """
     nodes = pairs.select("node").unionByName(pairs.select(F.col("partner").alias("node"))).distinct()
-    wanted = write_shared(nodes.join(reps, "node"), "wanted")
+    wanted = write_shared(nodes.join(reps, "node"), "wanted", files)
     word, bit = f"pmod(shiftrightunsigned(xxhash64(rep, rep_key), 6), {FILTER_WORDS})", "shiftleft(1L, CAST(xxhash64(rep, rep_key) & 63 AS INT))"
     words = wanted.selectExpr(f"{word} AS w", f"{bit} AS b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     bits = np.zeros(FILTER_WORDS, np.int64)
     bits[[r["w"] for r in words]] = [r["b"] for r in words]
-    some = source.select("doc_id", "row_key", "text", F.xxhash64("doc_id", "row_key").alias("h")).mapInArrow(_maybe(bits.view(np.uint64)), "doc_id long, row_key long, text string")
-    return some.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key"))).select("node", "text").mapInArrow(_texts(n), "node long, text string")
+    some = map_arrow(source.select("doc_id", "row_key", "text", F.xxhash64("doc_id", "row_key").alias("h")), _maybe(bits.view(np.uint64)), "doc_id long, row_key long, text string")
+    found = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key")))
+    return map_arrow(found.select("node", "text"), _texts(n), "node long, text string")
 
 
 def _overlaps(n: int, percent: int):
@@ -223,7 +276,7 @@ def _overlaps(n: int, percent: int):
     def run(batches):
         partner, row = None, None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 a, b = [], []
                 for p, own, node, text in zip(*(batch.column(c).to_pylist() for c in ("partner", "own", "node")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     if own:
@@ -254,7 +307,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, group: in
     rows = wanted.unionByName(own).join(texts, "node")
     n_parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.repartition(n_parts, "partner", "part").sortWithinPartitions("partner", "part", F.desc("own"))
-    return dealt.select("partner", "own", "node", "text").mapInArrow(_overlaps(n, percent), "u long, v long")
+    return map_arrow(dealt.select("partner", "own", "node", "text"), _overlaps(n, percent), "u long, v long")
 
 
 def _fits(percent: int):
@@ -272,24 +325,51 @@ def _reaches(percent: int):
     return F.col("overlap") + F.ceil(F.greatest("n", "pn") * percent / F.lit(100)) - 1 >= least
 
 
+def _first_shared(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, partner, n, pn) of rows in different components, n <= pn, for which a column can be the first shared.
+
+    labelled: gram, node, n, top (the largest partner for which the column can be the first shared), component.  A
+    row meets the rows of at least its size, band by band; rows of the column's most common component meet only the
+    others.
+    """
+    heights = labelled.groupBy("gram", "component").agg(F.count("*").alias("height"))
+    mixed = heights.groupBy("gram").agg(F.max(F.struct("height", "component")).alias("most"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("most.component").alias("most"))
+    left = labelled.join(mixed, "gram").withColumn("common", F.col("component") == F.col("most"))
+    band = lambda size: F.floor(F.log(size) / math.log(BAND))
+    far = F.least("top", F.floor(F.col("n") * 100 / percent))
+    small = left.where(F.col("top") >= F.col("n")).select("gram", F.explode(F.sequence(band(F.col("n")), band(far))).alias("band"), "common", "node", "n", "top", "component")
+    # each row is met by the others, and those of few in common by the rows of the most common component too
+    meets = F.explode(F.when(F.col("common"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    large = left.select("gram", band(F.col("n")).alias("band"), meets.alias("common"), F.col("node").alias("partner"), F.col("n").alias("pn"), F.col("top").alias("ptop"), F.col("component").alias("pc"))
+    met = small.join(large, ["gram", "band", "common"]).where((F.col("component") != F.col("pc")) & (F.col("pn") <= F.col("top")) & (F.col("n") <= F.col("ptop")) & _fits(percent))
+    met = met.where((F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("node") < F.col("partner"))))
+    return met.groupBy("node", "partner").agg(F.first("n").alias("n"), F.first("pn").alias("pn"))
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (node, partner, n, pn) those whose overlap on the first columns of both leaves room for a link."""
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("partner").alias("node"))).distinct()
+    firsts = sets.where("columns IS NOT NULL").select("node", "columns").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(firsts, "node").join(firsts.select(F.col("node").alias("partner"), F.col("columns").alias("others")), "partner")
+    return both.withColumn("overlap", F.size(F.array_intersect("columns", "others"))).where(_reaches(percent)).select("node", "partner")
+
+
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, linked): sets (doc_id, row_key, node, n) of every document, row_key a hash of its text; linked (node, component) of the sets with a link."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
-    sample = source.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = sample.mapInArrow(_sampled_grams(n), "gram long").groupBy("gram").count().where(F.col("count") >= HOT_IN_SAMPLE)
-    hot = np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("count"), "gram").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
-
-    sets = write_shared(source.mapInArrow(_rows(n, percent, hot), "doc_id long, row_key long, node long, n int, cold int, columns array<long>"), "rows")
+    hot = HotColumns.of(source, n)
+    sets = write_shared(map_arrow(source, _rows(n, percent, hot), "doc_id long, row_key long, node long, n int, cold int, columns array<long>"), "rows")
+    files = -(-sets.count() // FILE_ROWS) or 1
     entries = sets.select("node", "n", "cold", F.posexplode("columns").alias("pos", "gram"))
-    entries = entries.select("gram", F.when(F.col("pos") >= F.col("cold"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), "node", "n")
+    top = F.expr(f"CAST((n - pos) * {100 + percent}L DIV {percent} - n AS INT)")
+    entries = entries.select("gram", F.when(F.col("pos") >= F.col("cold"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), "node", "n", top.alias("top"))
     blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.repartition(4 * blocks, "gram", "salt").sortWithinPartitions("gram", "node").select("gram", "node", "n")
-    shared = write_shared(dealt.mapInArrow(_shared(hot), "gram long, node long, n int"), "shared-columns")
+    dealt = entries.repartition(blocks, "gram", "salt").sortWithinPartitions("gram", "node").select("gram", "node", "n", "top")
+    shared = write_shared(map_arrow(dealt, _shared(hot), "gram long, node long, n int, top int"), "shared-columns")
 
     columns = shared.groupBy("gram").agg(F.count("*").alias("height")).where("height > 1")
-    degrees = shared.join(columns, "gram").groupBy("node").agg(F.sum("height").alias("degree"), F.first("n").alias("n"))
-    known = write_shared(degrees, "degrees")
-    listed = shared.select("gram", "node").join(known, "node")
+    degrees = shared.join(columns, "gram").groupBy("node").agg(F.sum("height").alias("degree"))
+    listed = shared.select("gram", "node", "n").join(degrees, "node")
     stars = listed.groupBy("gram").agg(F.max(F.struct("degree", "node", "n")).alias("best"), F.min(F.struct("node", "n")).alias("least")).where(F.col("best.node") != F.col("least.node"))
     partners = F.explode(F.array(F.struct(F.col("best.node").alias("partner"), F.col("best.n").alias("pn")), F.struct(F.col("least.node").alias("partner"), F.col("least.n").alias("pn"))))
     product = (
@@ -302,27 +382,27 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         .where(_reaches(percent))
     )
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("overlap"), "partner"))
-    first_pairs = write_shared(product.withColumn("rank", rank).where("rank <= 2").select("node", "partner"), "first-pairs")
+    first_pairs = write_shared(product.withColumn("rank", rank).where("rank <= 2").select("node", "partner"), "first-pairs", files)
 
     reps = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.row_key").alias("rep_key"))
 
-    links = write_shared(verified(first_pairs, texts_of(first_pairs, reps, source, n), n, percent), "links")
-    part = components(links)
-    labelled = write_shared(listed.select("gram", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    # what is left of the product: columns whose rows are in several components
-    heights = labelled.groupBy("gram", "component").agg(F.count("*").alias("height"))
-    mixed = heights.groupBy("gram").agg(F.max(F.struct("height", "component")).alias("most"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("most.component").alias("most"))
-    left = labelled.join(mixed, "gram")
-    few = left.where("component <> most").select("gram", "node", "n", "component")
-    others = left.select("gram", F.col("node").alias("partner"), F.col("n").alias("pn"), F.col("component").alias("pc"), (F.col("component") == F.col("most")).alias("large"))
-    rest = few.join(others, "gram").where((F.col("component") != F.col("pc")) & (F.col("large") | (F.col("node") < F.col("partner"))) & _fits(percent))
-    swapped = F.col("node") > F.col("partner")
-    rest = rest.select(F.when(swapped, F.col("partner")).otherwise(F.col("node")).alias("node"), F.when(swapped, F.col("node")).otherwise(F.col("partner")).alias("partner"), "n", "pn")
-    rest = rest.groupBy("node", "partner").agg(F.count("*").alias("overlap"), F.first("n").alias("n"), F.first("pn").alias("pn")).where(_reaches(percent)).select("node", "partner")
-    tested = first_pairs.select(F.least("node", "partner").alias("node"), F.greatest("node", "partner").alias("partner"))
-    rest = write_shared(rest.join(tested, ["node", "partner"], "left_anti"), "rest-pairs")
-    more = verified(rest, texts_of(rest, reps, source, n), n, percent)
-    return sets, components(links.unionByName(more))
+    part = components(verified(first_pairs, texts_of(first_pairs, reps, source, n, files), n, percent).repartition(files))
+    labelled = shared.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # what is left of the product, but for the pairs that were tested
+    tested = first_pairs.select("node", "partner").unionByName(first_pairs.select(F.col("partner").alias("node"), F.col("node").alias("partner")))
+    rest = _first_shared(labelled, percent).join(tested, ["node", "partner"], "left_anti")
+    rest = write_shared(_counted(write_shared(rest, "rest-pairs", files), sets, percent), "rest-counted", files)
+    if rest.isEmpty():
+        return sets, part
+    more = verified(rest, texts_of(rest, reps, source, n, files), n, percent).repartition(files)
+    # these links join components: a graph whose nodes are the components
+    to = part.select(F.col("node").alias("x"), F.col("component").alias("cx"))
+    for end in ("u", "v"):
+        more = more.join(to, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("cx", end)).select("u", "v")
+    joined = components(more)
+    new = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    linked = part.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return sets, linked.unionByName(joined.join(part.select("node"), "node", "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
