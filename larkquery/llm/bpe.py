@@ -12,18 +12,22 @@ The vocabulary file is named by a parameter and read by each Python worker, or s
 from __future__ import annotations
 
 import base64
-import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import local_file, map_arrow, ship_file, slices
+from .memo import Memo, run_sums, taken
 
-#: A worker's memos are cleared beyond these; that bounds memory and changes no result.
-MEMO_BYTES = 100 << 20
+#: A worker's memos are cleared beyond these numbers of entries; that bounds memory and changes no result.
+MEMO_PIECES = 300_000
 MEMO_PAIRS = 300_000
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 
 
 class BytePairCodec:
@@ -36,8 +40,12 @@ class BytePairCodec:
         self.shorter: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.memo: dict[str, bytes] = {}
-        self.memo_bytes = 0
+        self.memo = Memo()
+        tokens = sorted(self.bytes_of)
+        self.byte_ends = np.zeros((tokens[-1] if tokens else -1) + 2, np.int64)
+        self.byte_ends[np.array(tokens, np.int64) + 1] = [len(self.bytes_of[t]) for t in tokens]
+        np.cumsum(self.byte_ends, out=self.byte_ends)
+        self.byte_flat = np.frombuffer(b"".join(self.bytes_of[t] for t in tokens), np.uint8)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairCodec:
@@ -149,16 +157,29 @@ class BytePairCodec:
         whole = self.ranks.get(data)
         return self.backtrack(data) if whole is None else [whole]
 
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); each distinct piece is encoded once as long as the memo holds it."""
+        split = [self.split(t) if t else [] for t in texts]
+        found = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        if len(self.memo) > MEMO_PIECES:
+            self.memo = Memo()
+        rows = self.memo.find(found.dictionary)
+        if len(new := found.dictionary.filter(pc.is_null(rows))):
+            ids = list(map(self.piece, new.to_pylist()))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            rows = self.memo.add(rows, new, np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum()), sizes)
+        ids, sizes = self.memo.take(rows.to_numpy()[found.indices.to_numpy()])
+        return ids.astype(np.int32), run_sums(sizes, np.fromiter(map(len, split), np.int64, len(split)))
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids (int32) of a text; each distinct piece is encoded once as long as the memo holds it."""
-        pieces, memo = self.split(text), self.memo
-        if self.memo_bytes > MEMO_BYTES:
-            memo.clear()
-            self.memo_bytes = 0
-        for p in set(pieces).difference(memo):
-            memo[p] = ids = np.array(self.piece(p), np.int32).tobytes()
-            self.memo_bytes += 120 + len(p) + len(ids)
-        return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32)
+        """The ids (int32) of a text."""
+        return self.encode_batch([text])[0]
+
+    def decode_batch(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Of ids of several texts, so many each: the bytes of each text (binary)."""
+        flat, each = taken(self.byte_flat, self.byte_ends, ids.astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(run_sums(each, sizes))]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -170,9 +191,7 @@ _codecs: dict[tuple[str, str], BytePairCodec] = {}
 def worker_codec(path: str, pattern: str) -> BytePairCodec:
     """One codec for each worker process and vocabulary."""
     if (key := (path, pattern)) not in _codecs:
-        from pyspark import SparkFiles
-
-        _codecs[key] = BytePairCodec.from_file(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
+        _codecs[key] = BytePairCodec.from_file(local_file(path), pattern)
     return _codecs[key]
 
 
@@ -180,12 +199,11 @@ def _encoded(vocabulary: str, pattern: str):
     def run(batches):
         codec = worker_codec(vocabulary, pattern)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            for batch in slices(whole, "text", SLICE):
+                ids, sizes = codec.encode_batch(batch.column("text").to_pylist())
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 kept = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), column], names=[*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[*kept, "ids"])
 
     return run
 
@@ -194,10 +212,12 @@ def _decoded(vocabulary: str, pattern: str):
     def run(batches):
         codec = worker_codec(vocabulary, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                decoded = [codec.decode(x or ()) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, "decoded"])
+            # a part of an encoded slice, or of what Spark sends: its arrays are bounded like a batch
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                ids = part.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, codec.decode_batch(ids.flatten().to_numpy(), sizes)], names=[*part.schema.names, "decoded"])
 
     return run
 
@@ -209,12 +229,14 @@ def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     read whole; an empty table gives an empty result; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoded(vocabulary, pattern), "doc_id long, ids array<int>")
+    ship_file(docs.sparkSession, vocabulary)
+    return map_arrow(rows, _encoded(vocabulary, pattern), "doc_id long, ids array<int>")
 
 
 def decode_bpe(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Adds decoded (binary) to the rows of ``encode_bpe``; null ids decode to no bytes."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(vocabulary, pattern), "doc_id long, ids array<int>, decoded binary")
+    ship_file(encoded.sparkSession, vocabulary)
+    return map_arrow(encoded.select("doc_id", "ids"), _decoded(vocabulary, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
 def round_trip_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", longs: tuple[str, ...] = ()) -> DataFrame:
@@ -224,4 +246,5 @@ def round_trip_bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     """
     encode, decode = _encoded(vocabulary, pattern), _decoded(vocabulary, pattern)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *longs, F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: decode(encode(batches)), "".join(f"{c} long, " for c in ("doc_id", *longs)) + "ids array<int>, decoded binary")
+    ship_file(docs.sparkSession, vocabulary)
+    return map_arrow(rows, lambda batches: decode(encode(batches)), "".join(f"{c} long, " for c in ("doc_id", *longs)) + "ids array<int>, decoded binary")
