@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; ``slices`` cuts to the same size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 @cache
@@ -159,3 +159,21 @@ def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = BATCH_BYTES)
 def is_held_out(doc_id, modulus: int, remainder: int):
     """Column: crc32 of the id as text leaves this remainder (null ids: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))
+
+
+#: Keys of at least so many rows are heavy, but no more keys than these: the bound of a broadcast (a few MB).
+HEAVY_ROWS, MOST_HEAVY = 10_000, 1 << 16
+
+
+def join_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of rows to the one verdict of their key; ``weight`` is a key's number of rows, about.
+
+    The rows of a heavy key are dealt to a task for every ``HEAVY_ROWS`` of them, its verdict to each of these tasks.
+    The list of heavy keys, the heaviest first, is broadcast; a key beyond its bound has a small share of all rows.
+    """
+    heavy = verdicts.where(F.col(weight) >= HEAVY_ROWS).orderBy(F.desc(weight), *keys).limit(MOST_HEAVY)
+    heavy = F.broadcast(heavy.select(*keys, F.ceil(F.col(weight) / HEAVY_ROWS).cast("int").alias("_parts")))
+    deal = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.col("_parts")).cast("int")
+    left = rows.join(heavy, keys, "left").withColumn("_part", F.coalesce(deal, F.lit(0))).drop("_parts")
+    right = verdicts.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"]).drop("_part")

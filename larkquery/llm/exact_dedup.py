@@ -4,11 +4,12 @@ Records are dealt by a hash of their content into buckets; Spark's shuffle files
 bucket is read by one task into an open-addressing table that compares complete contents.  A table holds at most
 ``bucket_bytes`` of distinct content: contents that come when it is full are deferred, as whole groups, to spill
 files in the shared folder, and those records are dealt again with another hash, level by level, until every
-bucket has fitted.
+bucket has fitted.  An input of more than ``fan_out`` buckets is first partitioned to spill files by another hash, and
+each of these is then dealt by itself, so no shuffle has more buckets than that.
 
 A group of copies cannot be split by any hash, so copies are collapsed before the shuffle (one record per content
 and Arrow batch) and the documents of a group are joined to its verdict by digest afterwards; that join carries
-ids only and AQE can split it.
+ids only, and a large group is dealt to several tasks.
 
 Defined cases: null text counts as empty; null ids are never the id that stays unless the group has no other
 (then ``keep_id`` is null and ``kept`` true); rows that repeat the id that stays are all ``kept``; an empty table
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, map_arrow, shared_path, slices, text_rows, total_text_bytes
+from .common import arrow_map, join_verdicts, map_arrow, shared_path, slices, text_rows, total_text_bytes
 
 RECORD = "h long, content binary, top_id long, n long"
 LEVEL = "sha string, keep_id long, group_size long, h long, content binary, top_id long, n long"
@@ -128,24 +129,35 @@ def _bucket(most_bytes: int):
     return run
 
 
-def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, buckets: int | None = None) -> DataFrame:
-    """One row per distinct content: sha (of the normalised content), keep_id, group_size."""
-    spark = docs.sparkSession
-    size = total_text_bytes(docs, text_col)
+def _levels(records: DataFrame, size: int, bucket_bytes: int, buckets: int | None) -> list[str]:
+    """Deal records to buckets, and what did not fit again; the folders of all levels."""
+    spark, paths = records.sparkSession, []
     n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(4 * size / bucket_bytes))
-    records = arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _collapse, RECORD)
-    paths, level = [], 0
     while True:
-        dealt = records.repartition(n, F.xxhash64(F.lit(level), F.col("h")))
-        paths.append(shared_path(spark, f"grace-level{level}"))
+        dealt = records.repartition(n, F.xxhash64(F.lit(len(paths)), F.col("h")))
+        paths.append(shared_path(spark, f"grace-level{len(paths)}"))
         map_arrow(dealt, _bucket(bucket_bytes), LEVEL).write.parquet(paths[-1])
         deferred = spark.read.schema(LEVEL).parquet(paths[-1]).where(F.col("content").isNotNull())
         left = deferred.agg(F.sum(F.octet_length("content"))).first()[0]
         if left is None:
-            break
-        level += 1
+            return paths
         records = deferred.select("h", "content", "top_id", "n")
         n = buckets or max(n, math.ceil(4 * left / bucket_bytes))
+
+
+def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, buckets: int | None = None, fan_out: int = 100_000) -> DataFrame:
+    """One row per distinct content: sha (of the normalised content), keep_id, group_size."""
+    spark = docs.sparkSession
+    size = total_text_bytes(docs, text_col)
+    records = arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _collapse, RECORD)
+    parts = math.ceil((buckets or 4 * size / bucket_bytes) / fan_out)
+    if parts <= 1:
+        paths = _levels(records, size, bucket_bytes, buckets)
+    else:
+        spill = shared_path(spark, "grace-parts")
+        records.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("h")), F.lit(parts)).cast("int")).write.partitionBy("part").parquet(spill)
+        stored = spark.read.schema(f"{RECORD}, part int").parquet(spill)
+        paths = [p for k in range(parts) for p in _levels(stored.where(F.col("part") == k).drop("part"), size // parts, bucket_bytes, buckets and -(-buckets // parts))]
     return spark.read.schema(LEVEL).parquet(*paths).where(F.col("sha").isNotNull()).select("sha", "keep_id", "group_size")
 
 
@@ -155,12 +167,12 @@ def _digests(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row_key"), pa.array(shas, pa.string())], names=["doc_id", "row_key", "sha"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, buckets: int | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, buckets: int | None = None, fan_out: int = 100_000) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256, row_key (hash of the text as it is).
 
     Texts are equal when identical after lower-casing A-Z only; the largest id of a group stays.
     """
-    groups = grace_groups(docs, id_col, text_col, bucket_bytes, buckets)
+    groups = grace_groups(docs, id_col, text_col, bucket_bytes, buckets, fan_out)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
     members = arrow_map(rows, _digests, "doc_id long, row_key long, sha string")
-    return members.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "row_key")
+    return join_verdicts(members, groups, ["sha"], "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "row_key")

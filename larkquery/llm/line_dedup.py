@@ -2,8 +2,8 @@
 
 Normalised lines are exploded with their position and hashed (128 bits); distinct documents are counted per hash
 with partial aggregation on (hash, document) first, so that a line which a third of all documents share never
-meets in one task as rows.  The few hashes over the threshold are joined back to the exploded positions (a plain
-sort-merge join of ids that AQE can split), grouped to a list of dropped positions per document, and each
+meets in one task as rows.  The few hashes over the threshold are joined back to the exploded positions; a
+line of very many documents is dealt to as many more tasks.  Dropped positions are grouped per document, and each
 document is reassembled by position from its own lines.  Texts cross the network once, with that last join.
 
 Defined cases: null or empty text is one empty line; null ids are no document for the count and never the one
@@ -20,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, map_arrow, slices, write_shared
-
-SALTS = 16
+from .common import ASCII_SPACE, join_verdicts, map_arrow, slices, write_shared
 
 
 def _exploded(min_chars: int):
@@ -68,12 +66,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
     lines = write_shared(map_arrow(texts, _exploded(min_chars), "id long, row_key long, pos int, h1 long, h2 long"), "line-hashes")
-    common = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    # a line of very many documents is dealt to SALTS tasks, its verdict to each of them
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    common = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n_docs"), F.count("*").alias("n_rows"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    common = write_shared(common, "common-lines")
     drops = (
-        lines.withColumn("salt", F.pmod(F.xxhash64("id", "row_key"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["h1", "h2", "salt"])
+        join_verdicts(lines, common, ["h1", "h2"], "n_rows")
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "row_key")
         .agg(F.collect_set("pos").alias("dropped"))
