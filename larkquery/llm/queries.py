@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .bpe import round_trip_bpe
 from .chat import fit_hmm, format_chats, raw_transcripts
-from .common import reach_package, write_shared
+from .common import write_shared
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .langid import language_id
@@ -23,7 +23,6 @@ A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reach_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -126,18 +125,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as raw logs, one marker in five lost; what comes back, beside the roles of the table."""
-    reach_package(spark)
+    """Conversations as raw logs, one marker in five lost; what comes back, beside the roles of the table.
+
+    n_right: lines whose role is that of the table.
+    """
     raw = write_shared(raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
     found = format_chats(raw, fit_hmm(raw))
-    true = raw.select("conv_id", "segment", "part", F.transform("truth", lambda t: t["role"]).alias("true_roles"))
-    both = found.join(true, found["conv_id"].eqNullSafe(true["conv_id"]) & (found["segment"] == true["segment"]) & (found["part"] == true["part"])).select(found["*"], "true_roles")
+    lines = F.flatten(F.transform("truth", lambda t: F.array_repeat(t["role"], t["lines"])))
+    true = raw.select("conv_id", "segment", "part", F.transform("truth", lambda t: t["role"]).alias("true_roles"), lines.alias("true_lines"))
+    both = found.join(true, found["conv_id"].eqNullSafe(true["conv_id"]) & (found["segment"] == true["segment"]) & (found["part"] == true["part"])).select(found["*"], "true_roles", "true_lines")
+    right = F.filter(F.zip_with("line_roles", "true_lines", lambda x, y: x.eqNullSafe(y)), lambda x: x)
     return both.select(
         "conv_id",
         "segment",
         "part",
         "n_lines",
+        F.size(right).cast("long").alias("n_right"),
         F.size("roles").cast("long").alias("n_turns"),
+        "continues",
         F.array_join("roles", ",").alias("roles"),
         F.array_join("true_roles", ",", "?").alias("true_roles"),
         F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"),
