@@ -77,46 +77,54 @@ def cut_windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def train_cnn(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCnn:
-    """Adam on the cross-entropy of single windows."""
-    rng = np.random.default_rng(seed)
+def fresh_weights(n_langs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     p = {"E": rng.normal(0, 0.5, (256, EMBED))}
     for w in WIDTHS:
         p[f"W{w}"], p[f"b{w}"] = rng.normal(0, (w * EMBED) ** -0.5, (w * EMBED, FILTERS)), np.zeros(FILTERS)
-    p["V"], p["c"] = rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(langs))), np.zeros(len(langs))
-    p = {k: v.astype(np.float32) for k, v in p.items()}
+    p["V"], p["c"] = rng.normal(0, 0.2, (FILTERS * len(WIDTHS), n_langs)), np.zeros(n_langs)
+    return {k: v.astype(np.float32) for k, v in p.items()}
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of windows x (n, WINDOW) with labels y, and its gradients."""
+    n, e, last = len(x), p["E"][x], WINDOW - max(WIDTHS) + 1
+    tops, hs = {}, []
+    for w in WIDTHS:
+        z = np.concatenate([e[:, k : k + last] for k in range(w)], 2) @ p[f"W{w}"]
+        tops[w] = top = z.argmax(1)
+        hs.append(np.take_along_axis(z, top[:, None], 1)[:, 0] + p[f"b{w}"])
+    pre = np.concatenate(hs, 1)
+    h = np.maximum(pre, 0)
+    s = h @ p["V"] + p["c"]
+    q = np.exp(s - s.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    loss = float(-np.log(q[np.arange(n), y] + 1e-30).mean())
+    q[np.arange(n), y] -= 1
+    q /= n
+    g = {"V": h.T @ q, "c": q.sum(0), "E": np.zeros_like(p["E"])}
+    dh = (q @ p["V"].T) * (pre > 0)
+    rows = np.arange(n)[:, None]
+    for i, w in enumerate(WIDTHS):  # only the maximal position of each filter has a gradient
+        d, top = dh[:, i * FILTERS : (i + 1) * FILTERS], tops[w]
+        g[f"b{w}"], g[f"W{w}"] = d.sum(0), np.zeros_like(p[f"W{w}"])
+        for k in range(w):
+            byte = x[rows, top + k]
+            block = slice(k * EMBED, (k + 1) * EMBED)
+            g[f"W{w}"][block] = np.einsum("nfe,nf->ef", p["E"][byte], d)
+            np.add.at(g["E"], byte, d[:, :, None] * p[f"W{w}"][block].T[None])
+    return loss, g
+
+
+def train_cnn(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCnn:
+    """Adam on the cross-entropy of single windows."""
+    rng = np.random.default_rng(seed)
+    p = fresh_weights(len(langs), rng)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    last = WINDOW - max(WIDTHS) + 1
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x, y = windows[pick].astype(np.int64), labels[pick]
-            n, e = len(x), p["E"][x]
-            tops, hs = {}, []
-            for w in WIDTHS:
-                cols = np.concatenate([e[:, k : k + last] for k in range(w)], 2)
-                z = cols @ p[f"W{w}"]
-                tops[w] = top = z.argmax(1)
-                hs.append(np.take_along_axis(z, top[:, None], 1)[:, 0] + p[f"b{w}"])
-            pre = np.concatenate(hs, 1)
-            h = np.maximum(pre, 0)
-            s = h @ p["V"] + p["c"]
-            q = np.exp(s - s.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(n), y] -= 1
-            q /= n
-            g = {"V": h.T @ q, "c": q.sum(0), "E": np.zeros_like(p["E"])}
-            dh = (q @ p["V"].T) * (pre > 0)
-            rows = np.arange(n)[:, None]
-            for i, w in enumerate(WIDTHS):  # only the maximal position of each filter has a gradient
-                d, top = dh[:, i * FILTERS : (i + 1) * FILTERS], tops[w]
-                g[f"b{w}"], g[f"W{w}"] = d.sum(0), np.zeros_like(p[f"W{w}"])
-                for k in range(w):
-                    byte = x[rows, top + k]
-                    block = slice(k * EMBED, (k + 1) * EMBED)
-                    g[f"W{w}"][block] = np.einsum("nfe,nf->ef", p["E"][byte], d)
-                    np.add.at(g["E"], byte, d[:, :, None] * p[f"W{w}"][block].T[None])
+            _, g = gradients(p, windows[pick].astype(np.int64), labels[pick])
             step += 1
             for k in p:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -149,7 +157,8 @@ def fit_langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not counts:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
-    drawn = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20))
+    # by id and text, so that rows without an id are not all drawn together
+    drawn = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid"), F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 20)) < share * (1 << 20))
     sample = map_arrow(drawn.select("lang", "text"), _spread(windows_per_doc), "lang string, bytes binary").collect()
     if not sample:
         return None

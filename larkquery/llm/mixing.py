@@ -13,8 +13,9 @@ Ranks inside a class come from counts per (class, hash bucket) and a window insi
 with a third of all rows is ordered by many tasks.
 
 Defined cases: sources that ``shares`` does not name, and null sources, form the class ``*`` with ``rest_share``;
-null ids are ordered as the empty text; null texts are mixed like others; rows that repeat one id each get a place
-(rows that are equal throughout are interchangeable); an empty table gives an empty result.  Helper columns are
+rows without an id are ordered by a hash of the whole row; null texts are mixed like others; rows that repeat one id
+each get a place (rows that are equal throughout are interchangeable, and are numbered in one task); an empty table
+gives an empty result.  Weights count documents; to weigh tokens or bytes, give shares divided by their mean size.  Helper columns are
 named ``_mix_...`` so that extra columns of the input pass through.
 """
 
@@ -75,7 +76,8 @@ def mix_sources(docs: DataFrame, shares: dict[str, int], rest_share: int, block_
     digits = max(2, math.ceil(math.log(max(n_docs, 1) / 40_000 + 1, 16)))
 
     named = F.col(source_col).isin(list(shares))
-    keyed = docs.withColumns({"mix_class": F.when(named, F.col(source_col)).otherwise(F.lit(REST)), "_mix_hash": F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))})
+    unnamed = F.concat(F.lit(":"), F.xxhash64(*docs.columns).cast("string"))
+    keyed = docs.withColumns({"mix_class": F.when(named, F.col(source_col)).otherwise(F.lit(REST)), "_mix_hash": F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), unnamed)).cast("binary"))})
     keyed = keyed.withColumn("_mix_bucket", F.substring("_mix_hash", 1, digits))
     before = W.partitionBy("mix_class").orderBy("_mix_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = keyed.groupBy("mix_class", "_mix_bucket").count().select("mix_class", "_mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_offset"))

@@ -203,11 +203,12 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weig
     return loss, g
 
 
-def start_embeddings(cut: list[np.ndarray], y: np.ndarray, taken: tuple, p: dict, min_docs: int) -> None:
+def start_embeddings(cut: list[np.ndarray], y: np.ndarray, taken: tuple, p: dict, min_docs: int, evidence: bool = True) -> None:
     """Set known_word and known_gram, and the first component of each embedding.
 
     Known is what at least ``min_docs`` texts hold; all else shares bucket 0.  The first component starts from the
-    evidence of the label: the lower end (two standard errors) of the log-odds, where that is positive.
+    evidence of the label: the lower end (two standard errors) of the log-odds, where that is positive.  Without
+    ``evidence`` it starts at random like the others.
     """
     word, flat, counts = taken
     ends = np.cumsum(counts)
@@ -222,7 +223,8 @@ def start_embeddings(cut: list[np.ndarray], y: np.ndarray, taken: tuple, p: dict
         odds = np.log((df[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((df[0] + 0.5) / ((y == 0).sum() + 1))
         sure = odds - 2 * np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
         p[f"known_{what}"] = seen.astype(np.float32)
-        p[what][:, 0] = np.where(seen, np.maximum(sure, 0), 0)
+        if evidence:
+            p[what][:, 0] = np.where(seen, np.maximum(sure, 0), 0)
 
 
 def known(p: dict, what: str, ids) -> np.ndarray:
@@ -249,13 +251,13 @@ def _sampled(most_windows: int):
     return run
 
 
-def train_network(texts: list[list[str]], labels: list[int], steps: int = 300, batch: int = 48, rate: float = 0.01, decay: float = 0.02, min_docs: int = 3, seed: int = 11) -> dict[str, np.ndarray]:
+def train_network(texts: list[list[str]], labels: list[int], steps: int = 300, batch: int = 48, rate: float = 0.01, decay: float = 0.02, min_docs: int = 3, seed: int = 11, evidence: bool = True) -> dict[str, np.ndarray]:
     """``texts`` are lists of pieces.  Adam with decaying embeddings; of each document the highest windows (two at most) learn its label."""
     rng, table, p = np.random.default_rng(seed), WordTable(), fresh_weights(seed)
     y = np.array(labels)
     cut = [np.concatenate([windows_of(table.ids(t)) for t in pieces]) for pieces in texts]
     word, flat, counts = taken = table.take()
-    start_embeddings(cut, y, taken, p, min_docs)
+    start_embeddings(cut, y, taken, p, min_docs, evidence)
     starts = np.cumsum(counts) - counts
     flat, word = known(p, "gram", flat), known(p, "word", word)
     learnt = [k for k in p if not k.startswith("known")]
@@ -333,8 +335,8 @@ class Scorer:
         return [float(b) if w[0, 0] else 0.0 for b, w in zip(best, cut, strict=True)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, most_windows: int = 256, held_out: tuple[int, int] = (4, 2)):
-    """Weights, or None without rows of both labels."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, most_windows: int = 256, held_out: tuple[int, int] = (4, 2), **training):
+    """Weights, or None without rows of both labels; ``training`` goes to ``train_network``."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND id IS NOT NULL").where(~is_held_out("id", *held_out)).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(counts) < 2:
@@ -351,7 +353,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             chosen[r["y"]].append(r["pieces"])
     if not chosen[0] or not chosen[1]:
         return None
-    return train_network(chosen[0] + chosen[1], [0] * len(chosen[0]) + [1] * len(chosen[1]))
+    return train_network(chosen[0] + chosen[1], [0] * len(chosen[0]) + [1] * len(chosen[1]), **training)
 
 
 def score_toxicity(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
