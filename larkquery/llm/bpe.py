@@ -24,10 +24,10 @@ from .common import local_file, map_arrow, ship_file, slices
 from .memo import Memo, run_sums, taken
 
 #: A worker's memos are cleared beyond these numbers of entries; that bounds memory and changes no result.
-MEMO_PIECES = 300_000
-MEMO_PAIRS = 300_000
+MEMO_PIECES = 150_000
+MEMO_PAIRS = 150_000
 #: Bytes of text that are encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class BytePairCodec:

@@ -222,38 +222,25 @@ def _shared(hot: HotColumns):
 
 
 def _maybe(bits: np.ndarray):
-    """Texts whose row may be wanted: one bit per hashed id and row key, so a few unwanted ones pass."""
+    """Texts whose row may be wanted: one bit per hashed id and row key, so a few unwanted ones pass.
+
+    Rows that are repeated in a batch pass once.
+    """
 
     def run(batches):
         for batch in batches:
             h = batch.column("h").to_numpy().view(np.uint64)
             word = bits[(h >> np.uint64(6)) % np.uint64(len(bits))]
-            yield batch.filter(pa.array((word >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))).select(["doc_id", "row_key", "text"])
-
-    return run
-
-
-def _texts(n: int):
-    """Texts of wanted rows, once a task where a row is repeated."""
-
-    def run(batches):
-        given = set()
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                found = [set_key(g) if len(g := shingles(t or b"", n)) else None for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                right = []
-                for a, b in zip(found, batch.column("node").to_pylist(), strict=True):
-                    right.append(a == b and a not in given)
-                    if right[-1]:
-                        given.add(a)
-                right = pa.array(right, pa.bool_())
-                yield batch.select(["node", "text"]).filter(right)
+            take = (word >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            first = np.zeros(len(h), bool)
+            first[np.unique(h, return_index=True)[1]] = True
+            yield batch.filter(pa.array(take & first)).select(["doc_id", "row_key", "text"])
 
     return run
 
 
-def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, files: int) -> DataFrame:
-    """(node, text) of all rows in pairs.
+def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, files: int) -> DataFrame:
+    """(node, text) of all rows in pairs, each once.
 
     A row is known by its id and ``row_key``, so that null or repeated ids do not meet all rows of the id.  The wanted
     rows go to the scan as a bitmap of ``FILTER_WORDS`` words at most, which keeps most other texts out of
@@ -267,7 +254,7 @@ def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, n: int, files
     bits[[r["w"] for r in words]] = [r["b"] for r in words]
     some = map_arrow(source.select("doc_id", "row_key", "text", F.xxhash64("doc_id", "row_key").alias("h")), _maybe(bits.view(np.uint64)), "doc_id long, row_key long, text string")
     found = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key")))
-    return map_arrow(found.select("node", "text"), _texts(n), "node long, text string")
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def _overlaps(n: int, percent: int):
@@ -386,7 +373,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     reps = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.row_key").alias("rep_key"))
 
-    part = components(verified(first_pairs, texts_of(first_pairs, reps, source, n, files), n, percent).repartition(files))
+    part = components(verified(first_pairs, texts_of(first_pairs, reps, source, files), n, percent).repartition(files))
     labelled = shared.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # what is left of the product, but for the pairs that were tested
     tested = first_pairs.select("node", "partner").unionByName(first_pairs.select(F.col("partner").alias("node"), F.col("node").alias("partner")))
@@ -394,7 +381,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     rest = write_shared(_counted(write_shared(rest, "rest-pairs", files), sets, percent), "rest-counted", files)
     if rest.isEmpty():
         return sets, part
-    more = verified(rest, texts_of(rest, reps, source, n, files), n, percent).repartition(files)
+    more = verified(rest, texts_of(rest, reps, source, files), n, percent).repartition(files)
     # these links join components: a graph whose nodes are the components
     to = part.select(F.col("node").alias("x"), F.col("component").alias("cx"))
     for end in ("u", "v"):
