@@ -71,9 +71,29 @@ def test_op3_held_out(spark):
     assert auc > 0.75  # a few dozen toxic documents to learn from at this size
 
 
+def test_op3_recall_and_precision(spark):
+    """At sf0.1, where some 300 toxic documents can be learned from; by the fixed threshold."""
+    sf = SF.replace("sf0.01", "sf0.1")
+    toxic = {r[0]: r[1] for r in duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall()}
+    got = [(r.predicted, toxic[r.doc_id]) for r in queries.op3_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    caught, false = sum(p for p, y in got if y), sum(p for p, y in got if not y)
+    assert caught >= 0.7 * sum(y for _, y in got) and false <= 0.03 * sum(1 - y for _, y in got)
+
+
+def test_op9_against_quality_labels(spark):
+    """The rules never saw these labels: past the base rules most of the bad texts go, hardly a good one."""
+    sf = SF.replace("sf0.01", "sf0.1")
+    good = {r[0]: r[1] for r in duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall()}
+    got = [(r.kept, good[r.doc_id]) for r in queries.op9_quality(spark, sf).collect() if not r.base_failed and r.doc_id in good]
+    bad = [k for k, y in got if not y]
+    assert len(bad) > 200 and sum(not k for k in bad) >= 0.75 * len(bad)
+    assert sum(not k for k, y in got if y) <= 0.005 * sum(y for _, y in got)
+
+
 def test_op8_roles(spark):
     got = [r for r in queries.op8_chat_format(spark, SF).collect() if zlib.crc32(str(r.conv_id).encode()) % 3 == 1]
     assert sum(r.roles == r.true_roles for r in got) >= 0.6 * len(got)
+    assert sum(r.n_right for r in got) >= 0.9 * sum(r.n_lines for r in got)
 
 
 def test_pipeline_against_brute_force(spark):
