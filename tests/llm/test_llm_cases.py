@@ -622,3 +622,40 @@ def test_pipeline_with_null_and_shared_ids(spark):
     assert rows_of(mixed) == got
     coded = corpus_pipeline.tokenize(spark, mixed, "").collect()
     assert sorted(r.decoded_sha256 for r in coded) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in got.elements())
+
+
+def test_operators_ship_the_package_to_workers(tmp_path):
+    """Called directly, in a folder and an environment from which workers cannot import it."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import public_tokenizers as P
+from larkquery.llm.exact_dedup import exact_dedup
+from larkquery.llm.token_store import read_tokens, write_tokens
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+df = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
+assert exact_dedup(df).where("kept").count() == 1
+assert read_tokens(spark, *write_tokens(df, P.path("word_bpe_49k.json"), 49408, end_id=1)).count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session)
