@@ -94,12 +94,17 @@ def write_shared(df: DataFrame, name: str, files: int | None = None) -> DataFram
     """
     path = shared_path(df.sparkSession, name)
     (df if files is None else df.coalesce(files)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
 
 
-def text_rows(docs: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, so that extra columns never reach Python."""
-    return docs.select(*[F.col(c) for c in cols])
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete tables that ``write_shared`` gave and that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def total_text_bytes(docs: DataFrame, text: str = "text") -> int:

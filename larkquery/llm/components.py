@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import drop_shared, write_shared
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ FILE_EDGES = 500_000
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (u, v) of longs, any direction -> (node, component) for every node with an edge; component: its least node.
 
-    Loops and repeated edges change nothing; null ends are ignored.  Every round is written to the shared folder.
+    Loops and repeated edges change nothing; null ends are ignored.  Every round is written to the shared folder, where the last one stays.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = write_shared(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(high, low), "edges")
@@ -40,5 +40,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = sign
         stars = _small_star(_large_star(now).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        now = write_shared(stars, "edges", files=-(-sign["n"] // FILE_EDGES))
+        before, now = now, write_shared(stars, "edges", files=-(-sign["n"] // FILE_EDGES))
+        drop_shared(before)
     raise RuntimeError("components did not settle")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, join_verdicts, map_arrow, shared_path, slices, text_rows, total_text_bytes
+from .common import arrow_map, join_verdicts, map_arrow, shared_path, slices, total_text_bytes
 
 RECORD = "h long, content binary, top_id long, n long"
 LEVEL = "sha string, keep_id long, group_size long, h long, content binary, top_id long, n long"

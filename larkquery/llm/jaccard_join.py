@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, write_shared
+from .common import drop_shared, map_arrow, slices, write_shared
 from .components import components
 
 #: Bits of the bitmap of hot columns for each of them, and bits at most (16 MB).
@@ -106,9 +106,6 @@ class HotColumns:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def __contains__(self, gram) -> bool:
-        return bool(self.among(np.array([gram], np.uint64))[0])
-
     def among(self, grams: np.ndarray) -> np.ndarray:
         """Which of the columns (uint64) are hot."""
         if not len(self.bits):
@@ -136,6 +133,7 @@ class HotColumns:
         rows = counts.where(F.col("count") >= least).selectExpr(f"{word} AS w", f"{bit} AS b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
         bits = np.zeros(words, np.int64)
         bits[[r["w"] for r in rows]] = [r["b"] for r in rows]
+        drop_shared(counts)
         return cls(bits.view(np.uint64))
 
 
@@ -239,8 +237,8 @@ def _maybe(bits: np.ndarray):
     return run
 
 
-def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, files: int) -> DataFrame:
-    """(node, text) of all rows in pairs, each once.
+def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
+    """(node, text) of all rows in pairs, each once; and the written table that they are read by.
 
     A row is known by its id and ``row_key``, so that null or repeated ids do not meet all rows of the id.  The wanted
     rows go to the scan as a bitmap of ``FILTER_WORDS`` words at most, which keeps most other texts out of
@@ -254,7 +252,7 @@ def texts_of(pairs: DataFrame, reps: DataFrame, source: DataFrame, files: int) -
     bits[[r["w"] for r in words]] = [r["b"] for r in words]
     some = map_arrow(source.select("doc_id", "row_key", "text", F.xxhash64("doc_id", "row_key").alias("h")), _maybe(bits.view(np.uint64)), "doc_id long, row_key long, text string")
     found = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key")))
-    return found.select("node", "text").dropDuplicates(["node"])
+    return found.select("node", "text").dropDuplicates(["node"]), wanted
 
 
 def _overlaps(n: int, percent: int):
@@ -373,20 +371,25 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     reps = sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.row_key").alias("rep_key"))
 
-    part = components(verified(first_pairs, texts_of(first_pairs, reps, source, files), n, percent).repartition(files))
+    texts, wanted = texts_of(first_pairs, reps, source, files)
+    part = components(verified(first_pairs, texts, n, percent).repartition(files))
     labelled = shared.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # what is left of the product, but for the pairs that were tested
     tested = first_pairs.select("node", "partner").unionByName(first_pairs.select(F.col("partner").alias("node"), F.col("node").alias("partner")))
     rest = _first_shared(labelled, percent).join(tested, ["node", "partner"], "left_anti")
-    rest = write_shared(_counted(write_shared(rest, "rest-pairs", files), sets, percent), "rest-counted", files)
+    pairs = write_shared(rest, "rest-pairs", files)
+    rest = write_shared(_counted(pairs, sets, percent), "rest-counted", files)
+    drop_shared(shared, first_pairs, wanted, pairs)
     if rest.isEmpty():
         return sets, part
-    more = verified(rest, texts_of(rest, reps, source, files), n, percent).repartition(files)
+    texts, wanted = texts_of(rest, reps, source, files)
+    more = verified(rest, texts, n, percent).repartition(files)
     # these links join components: a graph whose nodes are the components
     to = part.select(F.col("node").alias("x"), F.col("component").alias("cx"))
     for end in ("u", "v"):
         more = more.join(to, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("cx", end)).select("u", "v")
     joined = components(more)
+    drop_shared(rest, wanted)
     new = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
     linked = part.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return sets, linked.unionByName(joined.join(part.select("node"), "node", "left_anti"))

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import zlib
 
 import pytest
@@ -566,8 +567,11 @@ def test_jaccard_join_against_all_pairs(spark):
     docs += [(3000, docs[0][1]), (3001, docs[0][1].upper()), (3001, docs[280][1]), (None, docs[290][1]), (None, None), (7, ""), (8, " \t"), (9, "one two"), (10, "ONE two"), (None, "lone text without an id")]
     docs += [(11, "same words again and again"), (11, "same words again and again")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str)
     assert got == linked_by_force(docs)
+    left = set(os.listdir(common.shared_dir(spark).removeprefix("file://"))) - before
+    assert sorted(x.rsplit("-", 1)[0] for x in left) == ["edges", "edges", "rows"]  # what the result reads
 
 
 def test_jaccard_candidates_of_a_template_grow_linearly(spark, monkeypatch):
@@ -626,7 +630,6 @@ def test_pipeline_with_null_and_shared_ids(spark):
 
 def test_operators_ship_the_package_to_workers(tmp_path):
     """Called directly, in a folder and an environment from which workers cannot import it."""
-    import os
     import subprocess
     import sys
     from pathlib import Path
