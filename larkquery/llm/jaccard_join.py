@@ -48,7 +48,7 @@ SAMPLE, HOT_IN_SAMPLE, SALTS = 16, 4, 64
 #: Sizes of rows in one band differ by this factor at most.
 BAND = 1.06
 #: Rows of a document or a pair in one file of a small table.
-FILE_ROWS = 100_000
+FILE_ROWS = 20_000
 SLICE = 2 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 
