@@ -71,6 +71,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir))
 
 
+# every pair that shares a shingle, then the least id by links; at small sizes
+OP4_SQL = f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {A_Z}), '{WORD_SPACE}'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i+4], ' ')) AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 80 * (a.n + b.n - k)),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT l.y, r.c FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) l ON l.x = r.doc_id AND r.c < l.y)
+SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -214,4 +230,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op9_quality": _op9_sql(), "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op6_mixing": OP6_SQL, "op9_quality": _op9_sql(), "op10_exact_dedup": OP10_SQL}
