@@ -60,7 +60,7 @@ def reach_package(spark: SparkSession) -> None:
     now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(bound).strip().lower())
     if not now or int(now[1]) << 10 * " kmgt".index(now[2] or " ") > BATCH_BYTES:
         spark.conf.set(bound, str(BATCH_BYTES))
-    if (app := spark.sparkContext.applicationId) not in _shipped:
+    if (app := spark.sparkContext.applicationId) not in _shipped and Path(__file__).is_file():  # else it came as an archive, which was shipped
         spark.sparkContext.addPyFile(_package())
         _shipped.add(app)
 
@@ -90,10 +90,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def write_shared(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, outlives executors.
 
-    ``files`` bounds the files of a small table, and with them the tasks of its last stage.
+    ``files`` is how many files a small table gets; the stage before keeps its own tasks.
     """
     path = shared_path(df.sparkSession, name)
-    (df if files is None else df.coalesce(files)).write.parquet(path)
+    (df if files is None else df.repartition(files)).write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.shared_path = path
     return table
